@@ -59,9 +59,9 @@ def boundaries(text: str, lo: int, hi: int, pattern: str = public_tokenizers.PAT
     out = []
     for m in regex.finditer(pattern, text, pos=start):
         e = m.end()
-        if e >= hi:
+        if e >= min(hi, len(text)):
             break
-        if e >= lo and text[e].isspace() and not text[e - 1].isspace():
+        if e >= lo and text[e] in " \n\t\r" and not text[e - 1].isspace():
             out.append(e)
     return out
 

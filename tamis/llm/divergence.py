@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence.
 
-For each language, all its documents together give two reference histograms: classes of
-characters, and the language's commonest words beside all others. A document is compared
+For each language, all its documents give two reference histograms: the median document's
+shares of classes of characters (a median, so that the junk to be found doesn't shift it),
+and the language's commonest words beside all others. A document is compared
 with the references by the Jensen-Shannon distance, and is kept if it comes near enough to
 both histograms of one language. Texts, and languages, shorter than a minimum length give
 histograms that say little, so they aren't judged: the guard keeps such a text unless the
@@ -46,8 +47,8 @@ class Reference:
 class Limits:
     """least_words guards both distances; base limits are those of the base rules."""
 
-    chars: float = 0.12
-    words: float = 0.35
+    chars: float = 0.18
+    words: float = 0.45
     least_words: int = 50
     repeat_percent: int = 50
 
@@ -64,7 +65,9 @@ def class_counts(text: Column) -> list[Column]:
 def references(docs: DataFrame, *, common: int = 64, least_words: int = 500, least_share: float = 0.001) -> list[Reference]:
     """The references of all languages that have enough words, computed over all rows."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    chars = texts.groupBy("lang").agg(*[F.sum(c.cast("double")).alias(k) for k, c in zip(CLASSES, class_counts(F.col("text")), strict=True)])
+    n = F.char_length("text")
+    counted = texts.where(n > 0).select("lang", *[(c / n).alias(k) for k, c in zip(CLASSES, class_counts(F.col("text")), strict=True)])
+    chars = counted.groupBy("lang").agg(*[F.percentile_approx(k, 0.5, 1000).alias(k) for k in CLASSES])
     stripped = F.expr(r"transform(split(lower(text), '[\\x20\\x09-\\x0D]+'), w -> regexp_replace(w, '^[^\\p{L}]+|[^\\p{L}]+$', ''))")
     words = texts.select("lang", F.explode(stripped).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = words.where("word != ''")

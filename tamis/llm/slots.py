@@ -45,14 +45,17 @@ def rebalance(shard_of: list[int], size: dict[int, int], shards: int, tolerance:
         held[k].append((size.get(s, 0), s))
     load = [sum(b for b, _ in h) for h in held]
     mean = sum(load) / shards
+    grown = [k for k in range(shards) if not held[k]]
     for _ in range(4 * len(out)):
-        top, low = max(range(shards), key=lambda k: (load[k], -k)), min(range(shards), key=lambda k: (load[k], k))
+        top, low = max(range(shards), key=lambda k: (load[k], -k)), min(grown or range(shards), key=lambda k: (load[k], k))
         gap = load[top] - load[low]
-        if gap <= max(1, tolerance * mean):
+        if gap <= max(1, tolerance * mean) or grown and load[low] >= (1 - tolerance) * mean:
             break
         moves = [(abs(gap / 2 - b), s, None, b) for b, s in held[top] if 0 < b < gap]
         best = min(moves, default=None)
-        if best is None or best[0] > gap / 4:  # no single slot fits well: swap two
+        if grown:
+            pass  # old shards only give
+        elif best is None or best[0] > gap / 4:  # no single slot fits well: swap two
             lows = sorted(held[low])
             for b, s in heapq.nlargest(256, held[top]):
                 for c, t in lows:
