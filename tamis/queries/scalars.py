@@ -102,7 +102,10 @@ STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9.+#]+'), lambda w: length(w) >= 3 and not list_contains(" + STOPS + ", w)))"
 
 
-@query("tokenize", f"select posting_id, array_to_string(list_sort({TOKENS.format(chr(116) + 'itle || ' + repr(' ') + ' || company')}), ' ') as tokens from postings", "postings")
+TITLE_TOKENS = TOKENS.format("title || ' ' || company")
+
+
+@query("tokenize", f"select posting_id, array_to_string(list_sort({TITLE_TOKENS}), ' ') as tokens from postings", "postings")
 def _(spark, d):
     return A.postings(spark, d).select("posting_id", F.array_join(F.array_sort(text.tokenize(F.concat_ws(" ", "title", "company"))), " ").alias("tokens"))
 
