@@ -86,7 +86,7 @@ def normalize_url(url: Column, drop: Sequence[str] = TRACKING_PARAMS) -> Column:
     names = "|".join(re.escape(p) for p in sorted(drop, key=lambda p: (-len(p), p)))
     out = F.regexp_replace(out, f"([?&])(({names})(=[^&]*)?(&|$))+", "$1")
     out = F.regexp_replace(out, "[?&]$", "")
-    out = F.regexp_replace(out, r"^([^?]*[^?/])/(\?|$)", "$1$2")
+    out = F.regexp_replace(out, r"^([A-Za-z][^:/?]*://[^/?]+/[^?]*[^?/])/(\?|$)", "$1$2")
     origin = F.regexp_extract(out, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0)
     return F.concat(F.lower(origin), F.substring(out, F.char_length(origin) + 1, F.char_length(out)))
 

@@ -67,7 +67,7 @@ def _(spark, d):
     return A.postings(spark, d).select("posting_id", text.title_split(raw).alias("t")).select("posting_id", "t.company", "t.title")
 
 
-NORM_URL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '#.*$', ''), '([?&])((utm_campaign|utm_content|utm_medium|utm_source|utm_term|referrer|source|ref|trk)(=[^&]*)?(&|$))+', '\1', 'g'), '[?&]$', ''), '^([^?]*[^?/])/(\?|$)', '\1\2')"""
+NORM_URL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '#.*$', ''), '([?&])((utm_campaign|utm_content|utm_medium|utm_source|utm_term|referrer|source|ref|trk)(=[^&]*)?(&|$))+', '\1', 'g'), '[?&]$', ''), '^([A-Za-z][^:/?]*://[^/?]+/[^?]*[^?/])/(\?|$)', '\1\2')"""
 
 
 @query("normalize_url", f"select page_id, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) || u[length(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) + 1:] as url_norm from (select page_id, {NORM_URL.format('url')} as u from pages)")
