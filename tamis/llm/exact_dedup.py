@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ._shared import ASCII_SPACE, text_or_empty, written
 
 FAN_IN_BITS = 4
+CLASH = "two texts share a SHA-256 digest"
 
 
 def without_space(text: Column) -> Column:
@@ -55,7 +56,7 @@ def digests(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def _verified(lo: Column, hi: Column) -> Column:
-    return F.when(lo == hi, lo).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")))
+    return F.when(lo == hi, lo).otherwise(F.raise_error(F.lit(CLASH)))
 
 
 def merge(docs: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def merge(docs: DataFrame) -> DataFrame:
         levels.append(level)
         up = level.withColumn("run", F.shiftright("run", FAN_IN_BITS))
         level = up.groupBy("run", "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
-    known = level.select("run", "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.leaf").alias("keep_leaf"), F.col("n").alias("group_size"), _verified(F.col("lo"), F.col("hi")).alias("proof")).drop("proof")
+    known = level.select("run", "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.leaf").alias("keep_leaf"), F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(F.raise_error(F.lit(CLASH))).alias("group_size"))
     for child in reversed(levels):
         parent = known.select(F.col("run").alias("up"), F.col("digest").alias("of"), "keep_id", "keep_leaf", "group_size")
         known = child.join(parent, (F.shiftright("run", FAN_IN_BITS) == F.col("up")) & (F.col("digest") == F.col("of"))).select("run", "digest", "keep_id", "keep_leaf", "group_size")

@@ -1,13 +1,14 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of thousands of slots, for ever. A slot map says which shard
+Every record hashes, by id and text, into one of thousands of slots, for ever; so an id that
+many rows share makes no hot slot. A slot map says which shard
 holds a slot; it has versions, and rebalancing writes a new version that differs from the
 last one in as few slots as it can. Rows never move but with their slot. The map is one row
 a slot, so it is small whatever the table's size and may be broadcast.
 
 The map that :func:`rebalance` edits keeps the law ``bytes``: the shards' sizes come near
 equal. Defined results: a null text has no bytes, a null id hashes like any other value,
-repeated rows fall into one slot, an empty table leaves the map as it is.
+rows alike in id and text fall into one slot, an empty table leaves the map as it is.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ SLOTS = 4096
 MAP_SCHEMA = "version int, vslot int, shard int"
 
 
-def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(slots)).cast("int")
+def slot_of(*record: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*record), F.lit(slots)).cast("int")
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -81,7 +82,7 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        slot_of(F.col("doc_id"), slots).alias("vslot"),
+        slot_of(F.col("doc_id"), text, slots=slots).alias("vslot"),
     )
 
 

@@ -59,5 +59,5 @@ def test_odd_rows_and_versions(spark, docs_of):
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(p) == list(range(len(p))) for p in by.values())
-    assert len({r["shard"] for r in got if r["doc_id"] == 3}) == 1
+    assert len({r["vslot"] for r in got if r["doc_id"] == 3 and r["size"] == 2}) == 1
     assert slots.shard(df.limit(0), shards=3, slots=64)[0].count() == 0
