@@ -61,4 +61,4 @@ def query(name: str, sql: str | None = None, *views: str):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from . import aggregates, feeds, ledgers, rules, scalars, streams  # noqa: F401
+    from . import aggregates, feeds, ledgers, rules, runs, scalars, streams  # noqa: F401

@@ -225,10 +225,18 @@ def _(spark, d):
 SCORE_SQL = f"least(100, greatest(0, least(100, {SIGNAL_SQL} + {KEYWORD_SQL} + {TITLE_SQL} + {STARTUP_SQL} + {SPONSOR_SQL} + {DOMAIN_SQL})) + case when contains(lower(title), 'nicht') then 20 else 0 end)::int"
 
 
+def score_parts():
+    points, _ = P.signal_points(full(), L.SIGNALS)
+    return {"signals": points, "keywords": P.keyword_points(full(), L.KEYWORDS, L.GROUPS), "title": title_points(), "startup": startup(), "sponsor": sponsor(), "domain": domain()}
+
+
+def score_bonus():
+    return F.when(F.contains(F.lower("title"), F.lit("nicht")), 20).otherwise(0)
+
+
 def scored(postings):
     """postings with score and breakdown."""
-    points, _ = P.signal_points(full(), L.SIGNALS)
-    score, parts = P.final_score({"signals": points, "keywords": P.keyword_points(full(), L.KEYWORDS, L.GROUPS), "title": title_points(), "startup": startup(), "sponsor": sponsor(), "domain": domain()}, F.when(F.contains(F.lower("title"), F.lit("nicht")), 20).otherwise(0))
+    score, parts = P.final_score(score_parts(), score_bonus())
     return postings.withColumns({"score": score, "breakdown": parts})
 
 

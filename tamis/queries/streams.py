@@ -44,15 +44,6 @@ def _(spark, d):
 
 @query("stream_daily_counts", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by all")
 def _(spark, d):
-    schema_rows = jobs.windowed_counts(event_files(spark, d), "ts", ["event_type"], "1 day", "60 days")
-    name = f"daily_{jobs.uuid.uuid4().hex}"
-    out = jobs.shared(spark, name)
-
-    def put(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query_ = schema_rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", jobs.shared(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    rows = spark.read.schema("start timestamp, event_type string, n long, batch long").parquet(out)
-    last = rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    counts = jobs.windowed_counts(event_files(spark, d), "ts", ["event_type"], "1 day", "60 days")
+    last = jobs.run_updates(counts, "daily", ["start", "event_type"], "n")
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -50,3 +50,12 @@ def windowed_counts(stream: DataFrame, time: str, by: list[str], size: str, late
     """Counts by event-time window; rows later than the watermark are left out once their window is closed."""
     counted = stream.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), *by, "n")
+
+
+def run_updates(stream: DataFrame, name: str, keys: list[str], value: str) -> DataFrame:
+    """The last value of each key of an aggregating stream; a repeated batch overwrites its own folder."""
+    spark, out = stream.sparkSession, shared(stream.sparkSession, name)
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+    query.option("checkpointLocation", shared(spark, f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

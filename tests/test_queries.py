@@ -44,3 +44,25 @@ def test_query(spark, sf_dir, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_two_key_dedup_equals_the_plain_loop(spark, sf_dir):
+    from tamis.queries.ledgers import norm
+
+    rows = norm(spark, sf_dir).orderBy("ingest_ordinal").collect()
+    urls, names, kept = set(), set(), set()
+    for r in rows:
+        name = (r["title"].lower(), r["company_key"], r["source"])
+        if r["url_norm"] not in urls and name not in names:
+            urls.add(r["url_norm"])
+            names.add(name)
+            kept.add(r["posting_id"])
+    assert {r["posting_id"] for r in QUERIES["dedup_two_key"](spark, sf_dir).collect()} == kept
+
+
+def test_settings(spark, tmp_path):
+    from tamis.plans.settings import load_settings
+
+    (tmp_path / "s.json").write_text('{\n "titles": ["a", "b"],\n "max_results": 7, "unknown": 1}')
+    got = load_settings(spark, str(tmp_path / "s.json"))
+    assert got.titles == ("a", "b") and got.max_results == 7 and got.language == "en"
