@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +67,24 @@ def boundaries(text: str, lo: int, hi: int, pattern: str = public_tokenizers.PAT
     return out
 
 
-def _encode_short(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in small parts, so that a worker holds the ids of few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _ids(enc, texts: pa.Array) -> pa.Array:
+    return pa.array([np.asarray(encode_text(enc, t), dtype="<u4").tobytes() for t in texts.to_pylist()], pa.binary())
+
+
+def _encode_column(path: str, text: str, *keep: str):
+    """Columns to keep, and the ids of a text column."""
+
+    def run(batches):
         enc = encoding(path)
-        for b in batches:
-            ids = [np.asarray(encode_text(enc, t), dtype="<u4").tobytes() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": None, "piece": 0, "ids": ids})
+        for b in _parts(batches):
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], _ids(enc, b.column(text))], names=[*keep, "ids"])
 
     return run
 
@@ -105,28 +118,18 @@ def _ends(chunk: int, overlap: int):
     return run
 
 
-def _encode_pieces(path: str):
-    def run(batches):
-        enc = encoding(path)
-        for b in batches:
-            ids = [np.asarray(encode_text(enc, t), dtype="<u4").tobytes() for t in b["body"]]
-            yield b[["doc_id", "key", "piece"]].assign(ids=ids)
-
-    return run
-
-
 def encode(docs: DataFrame, path: str, *, chunk: int = 32768, overlap: int = 512) -> DataFrame:
     """doc_id, n_tokens and ids (binary: little-endian unsigned 32-bit) of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = F.char_length("text")
-    short = texts.where(size <= chunk + overlap).mapInPandas(_encode_short(path), _PIECES).select("doc_id", "ids")
+    short = texts.where(size <= chunk + overlap).mapInArrow(_encode_column(path, "text", "doc_id"), "doc_id long, ids binary")
     long = texts.where(size > chunk + overlap).withColumn("key", F.sha2("text", 256))
     copies = long.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("copies"), F.first("text").alias("text"))
     copies = written(copies, "bpe-long")
     chunks = copies.select("doc_id", "key", "text").mapInPandas(_cut(chunk, overlap), "doc_id long, key string, chunk int, start long, body string")
     parallel = chunks.repartition(F.col("key"), F.col("chunk"))
     ended = parallel.mapInPandas(_ends(chunk, overlap), "doc_id long, key string, chunk int, start long, body string, head array<long>, tail array<long>")
-    pieces = stitch(ended).mapInPandas(_encode_pieces(path), _PIECES)
+    pieces = stitch(ended).mapInArrow(_encode_column(path, "body", "doc_id", "key", "piece"), _PIECES)
     joined = pieces.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     ids = F.unhex(F.array_join(F.transform("p", lambda p: F.hex(p["ids"])), ""))
     whole = joined.select("doc_id", "key", ids.alias("ids"))
@@ -163,7 +166,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         enc = encoding(path)
-        for b in batches:
-            yield b.assign(decoded=[enc._core_bpe.decode_bytes(np.frombuffer(i, dtype="<u4").tolist()) for i in b["ids"]])
+        for b in _parts(batches):
+            decoded = [enc._core_bpe.decode_bytes(np.frombuffer(i, dtype="<u4").tolist()) for i in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInPandas(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
