@@ -19,15 +19,18 @@ language of its own; without any reference all texts pass the method's own verdi
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, text_or_empty
+from ._shared import ASCII_SPACE, text_or_empty, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -53,32 +56,56 @@ class Limits:
     repeat_percent: int = 50
 
 
-def class_counts(text: Column) -> list[Column]:
+@lru_cache(maxsize=1)
+def _class_table() -> np.ndarray:
+    """The class of every code point."""
+    table = np.full(0x110000, CLASSES.index("rest"), dtype=np.uint8)
+    for kind, cls in (("Ll", "lower"), ("Lu", "upper"), ("Nd", "digit")):
+        table[[c for c in range(0x110000) if unicodedata.category(chr(c)) == kind]] = CLASSES.index(cls)
+    for cls, chars in (("mark", ".,;:!?\"'()-"), ("symbol", SYMBOLS), ("space", ASCII_SPACE)):
+        table[[ord(c) for c in chars]] = CLASSES.index(cls)
+    return table
+
+
+def class_counts(text: str) -> np.ndarray:
     """Characters of each class, in the order of CLASSES."""
-    n = F.char_length(text)
-    left = lambda pattern: n - F.char_length(F.regexp_replace(text, pattern, ""))
-    of = lambda chars: n - F.char_length(F.translate(text, chars, ""))
-    found = [of(ASCII_SPACE), left(r"\p{Ll}+"), left(r"\p{Lu}+"), left(r"\p{Nd}+"), of(SYMBOLS), of(".,;:!?\"'()-")]
-    return [*found, n - sum(found[1:], found[0])]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.bincount(_class_table()[codes], minlength=len(CLASSES))
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-case words without the marks and symbols around them."""
+    return [w for w in (x.strip(_STRIP) for x in text.lower().split()) if w]
+
+
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch: every text's shares of classes, and how often each language's words occur."""
+    for b in batches:
+        seen: dict = {}
+        shares = []
+        for lang, text in zip(b["lang"], b["text"], strict=True):
+            if text:
+                shares.append((lang, (class_counts(text) / len(text)).tolist()))
+                seen.setdefault(lang, Counter()).update(tokens(text))
+        yield pd.DataFrame([(k, None, 0, s) for k, s in shares], columns=["lang", "word", "n", "shares"])
+        yield pd.DataFrame([(k, w, n, None) for k, c in seen.items() for w, n in c.items()], columns=["lang", "word", "n", "shares"])
 
 
 def references(docs: DataFrame, *, common: int = 64, least_words: int = 500, least_share: float = 0.001) -> list[Reference]:
     """The references of all languages that have enough words, computed over all rows."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    n = F.char_length("text")
-    counted = texts.where(n > 0).select("lang", *[(c / n).alias(k) for k, c in zip(CLASSES, class_counts(F.col("text")), strict=True)])
-    chars = counted.groupBy("lang").agg(*[F.percentile_approx(k, 0.5, 1000).alias(k) for k in CLASSES])
-    stripped = F.expr(r"transform(split(lower(text), '[\\x20\\x09-\\x0D]+'), w -> regexp_replace(w, '^[^\\p{L}]+|[^\\p{L}]+$', ''))")
-    words = texts.select("lang", F.explode(stripped).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words = words.where("word != ''")
-    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    top = words.withColumn("place", F.row_number().over(order)).where(F.col("place") <= common)
+    parts = written(texts.mapInPandas(_gather, "lang string, word string, n long, shares array<double>"), "divergence-parts")
+    chars = parts.where(F.col("shares").isNotNull()).groupBy("lang").agg(*[F.percentile_approx(F.col("shares")[i], 0.5, 1000).alias(k) for i, k in enumerate(CLASSES)])
+    counted = parts.where(F.col("word").isNotNull())
+    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     sizes = {r["lang"]: r["total"] for r in total.orderBy(F.col("total").desc()).limit(math.ceil(1 / least_share)).collect()}
     enough = {k: n for k, n in sizes.items() if n >= max(least_words, least_share * sum(sizes.values()))}
     keep = F.coalesce(F.col("lang"), F.lit("")).isin([k or "" for k in enough])
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    words = counted.where(keep).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    top = words.withColumn("place", F.row_number().over(order)).where(F.col("place") <= common)
     out: dict = {k: {} for k in enough}
-    for r in top.where(keep).select("lang", "word", "n").collect():
+    for r in top.select("lang", "word", "n").collect():
         if r["lang"] in enough:
             out[r["lang"]][r["word"]] = r["n"] / enough[r["lang"]]
     found = []
@@ -114,12 +141,12 @@ def repeated_words(words: list[bytes]) -> int:
     return sum(hit)
 
 
-def _word_distance(words: list[bytes], texts: str, refs: list[Reference]) -> list[float]:
-    tokens = [w for w in (x.strip(_STRIP) for x in texts.lower().split()) if w]
-    n = len(tokens)
+def _word_distance(text: str, refs: list[Reference]) -> list[float]:
+    words = tokens(text)
+    n = len(words)
     if not n:
         return [1.0] * len(refs)
-    seen = Counter(tokens)
+    seen = Counter(words)
     out = []
     for ref in refs:
         p = [seen.get(w, 0) / n for w in ref.words]
@@ -130,29 +157,24 @@ def _word_distance(words: list[bytes], texts: str, refs: list[Reference]) -> lis
 
 def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits()) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the distances to the nearest reference."""
-    text = text_or_empty()
-    n = F.char_length(text)
-    made = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        text.alias("text"),
-        (n - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.array(*[c.cast("long") for c in class_counts(text)]).alias("chars"),
-    )
+    space, symbol = CLASSES.index("space"), CLASSES.index("symbol")
+
+    def row(doc_id, text: str) -> tuple:
+        data = text.encode("utf-8", "surrogatepass")
+        words, chars = data.split(), class_counts(text)
+        lines = [x for x in data.split(b"\n") if x.split()]
+        repeat, n_words, total = repeated_words(words), len(words), max(1, len(text))
+        failed = n_words < limits.least_words or 100 * repeat > limits.repeat_percent * n_words
+        by_chars = [jensen_shannon((chars / total).tolist(), list(r.chars)) for r in refs]
+        by_words = _word_distance(text, refs)
+        worst, js_chars, js_words = min(((max(c / limits.chars, w / limits.words), c, w) for c, w in zip(by_chars, by_words, strict=True)), default=(0.0, 0.0, 0.0))
+        near = n_words < limits.least_words or worst <= 1
+        return (doc_id, n_words, len(text) - int(chars[space]), int(chars[symbol]), len(lines) - len(set(lines)), repeat, failed, not failed and near, js_chars, js_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc_id, text, n_symbols, chars in zip(b["doc_id"], b["text"], b["n_symbols"], b["chars"], strict=True):
-                words = text.encode().split()
-                lines = [x for x in text.encode().split(b"\n") if x.split()]
-                repeat, n_words, total = repeated_words(words), len(words), max(1, int(sum(chars)))
-                failed = n_words < limits.least_words or 100 * repeat > limits.repeat_percent * n_words
-                by_chars = [jensen_shannon([c / total for c in chars], list(r.chars)) for r in refs]
-                by_words = _word_distance(words, text, refs)
-                worst, js_chars, js_words = min(((max(c / limits.chars, w / limits.words), c, w) for c, w in zip(by_chars, by_words, strict=True)), default=(0.0, 0.0, 0.0))
-                near = n_words < limits.least_words or worst <= 1
-                rows.append((doc_id, n_words, len(text) - sum(map(text.count, ASCII_SPACE)), n_symbols, len(lines) - len(set(lines)), repeat, failed, not failed and near, js_chars, js_words))
+            rows = [row(i, t) for i, t in zip(b["doc_id"], b["text"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", *COUNTS, "base_failed", "kept", "js_chars", "js_words"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, js_chars double, js_words double"
-    return made.mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
