@@ -32,3 +32,9 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan
     best = plan_of(entry.queries()["newest_n_per_type"](spark, sf_dir))
     assert "WindowGroupLimit" in best
+
+
+def test_rules_are_pushed_below_the_joins(spark, sf_dir):
+    plan = plan_of(entry.queries()["top_matches"](spark, sf_dir))
+    scan = plan[plan.index("FileScan parquet [doc_id") :]
+    assert "RLIKE" in scan[: scan.index("Location")]
