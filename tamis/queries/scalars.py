@@ -266,7 +266,7 @@ def _(spark, d):
 @query("partial_flag", "select posting_id, (length(x) > 0 and length(x) < 120) or length(x) >= 500 as partial, length(x) as n from (select posting_id, substring(description, 1, 500) as x from postings)", "postings")
 def _(spark, d):
     cut = F.substring("description", 1, 500)
-    return A.postings(spark, d).select("posting_id", infer.partial_flag(cut).alias("partial"), F.char_length(cut).alias("n"))
+    return A.postings(spark, d).select("posting_id", infer.partial_flag(cut).alias("partial"), F.char_length(cut).cast("long").alias("n"))
 
 
 @query("time_canon", """select event_id, strftime(case event_id % 5 when 4 then timestamp '2024-01-31 00:00:00' else date_trunc('second', ts) end, '%Y-%m-%d %H:%M:%S') as at from events""")
