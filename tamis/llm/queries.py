@@ -95,7 +95,7 @@ def entries(pages: DataFrame) -> DataFrame:
 
 def op9_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_lists.evaluate(captures(pages), entries(pages)).select("page_id", "host", "fetched", "lists", "pattern", "blocked")
+    return url_lists.evaluate(captures(pages), entries(pages)).select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "lists", "pattern", "blocked")
 
 
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +180,6 @@ u as (select host, fetched, unnest(list_transform(range(1, len(string_split(host
 v as (select host, fetched, string_agg(distinct list, ',' order by list) as lists, arg_max(pattern, length(pattern)) as pattern,
   coalesce(max(case when list <> 'allow' then length(pattern) end), 0) > coalesce(max(case when list = 'allow' then length(pattern) end), 0) as blocked
   from u join i on u.domain = i.pattern and i.action = 'add' and valid_from <= fetched and (valid_to is null or fetched < valid_to) group by host, fetched)
-select p.page_id, p.host, p.fetched, coalesce(v.lists, '') as lists, v.pattern, coalesce(v.blocked, false) as blocked
+select p.page_id, p.host, p.fetched::varchar as fetched, coalesce(v.lists, '') as lists, v.pattern, coalesce(v.blocked, false) as blocked
 from p left join v on p.host = v.host and p.fetched = v.fetched""",
 }
