@@ -66,7 +66,33 @@ def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
     return {r["y"]: r["n"] for r in known.groupBy(F.when(F.col(label) > 0, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, l1: float, pairs: np.ndarray | None = None, pair_weight: float = 0.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+class Sparse:
+    """A matrix by its entries that aren't zero; products cost as many steps as it has entries."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.cols, self.values, self.shape = rows, cols, values, shape
+
+    @classmethod
+    def of(cls, lines: list[dict[int, float]], width: int) -> Sparse:
+        """From one {column: value} a row."""
+        count = [len(x) for x in lines]
+        cols = np.fromiter((c for x in lines for c in x), np.int32, sum(count))
+        values = np.fromiter((v for x in lines for v in x.values()), np.float32, sum(count))
+        return cls(np.repeat(np.arange(len(lines), dtype=np.int32), count), cols, values, (len(lines), width))
+
+    @classmethod
+    def dense(cls, x: np.ndarray) -> Sparse:
+        rows, cols = np.nonzero(x)
+        return cls(rows.astype(np.int32), cols.astype(np.int32), x[rows, cols].astype(np.float32), x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=self.values * w[self.cols], minlength=self.shape[0])
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, weights=self.values * e[self.rows], minlength=self.shape[1])
+
+
+def lasso_logistic(x: Sparse, y: np.ndarray, l1: float, pairs: Sparse | None = None, pair_weight: float = 0.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression with an L1 penalty, by accelerated proximal gradient.
 
     pairs: rows of feature differences whose squared scores are penalised as well,
@@ -75,27 +101,25 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, l1: float, pairs: np.ndarray |
     n, k = x.shape
     if not n or len(np.unique(y)) < 2:
         return np.zeros(k), 0.0
-    x = np.asarray(x, dtype=np.float32)
-    pairs = None if pairs is None or not len(pairs) else np.asarray(pairs, dtype=np.float32)
-    v = np.ones(k + 1, dtype=np.float64)
-    bound = 1.0
-    for _ in range(20):  # largest eigenvalue of the Hessian's bound
-        u = x @ v[:k].astype(np.float32) + v[k]
-        g = np.append(x.T @ u, u.sum()) / (4 * n)
+    pairs = pairs if pairs is not None and pairs.shape[0] else None
+
+    def gradient(err: np.ndarray, w: np.ndarray, scale: float) -> np.ndarray:
+        g = np.append(x.transposed_times(err), err.sum()) * scale / n
         if pairs is not None:
-            g[:k] += 2 * pair_weight / len(pairs) * (pairs.T @ (pairs @ v[:k].astype(np.float32)))
+            g[:k] += 2 * pair_weight / pairs.shape[0] * pairs.transposed_times(pairs.times(w))
+        return g
+
+    v, bound = np.ones(k + 1), 1.0
+    for _ in range(20):  # largest eigenvalue of the Hessian's bound
+        g = gradient(x.times(v[:k]) + v[k], v[:k], 0.25)
         bound = float(np.linalg.norm(g)) or 1.0
         v = g / bound
     step = 1 / (1.05 * bound)
     w = np.zeros(k + 1)
     z, t = w.copy(), 1.0
     for _ in range(rounds):
-        score = x @ z[:k].astype(np.float32) + z[k]
-        err = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
-        g = np.append(x.T @ err.astype(np.float32), err.sum()) / n
-        if pairs is not None:
-            g[:k] += 2 * pair_weight / len(pairs) * (pairs.T @ (pairs @ z[:k].astype(np.float32)))
-        new = z - step * g
+        score = x.times(z[:k]) + z[k]
+        new = z - step * gradient(1 / (1 + np.exp(-np.clip(score, -30, 30))) - y, z[:k], 1.0)
         new[:k] = np.sign(new[:k]) * np.maximum(np.abs(new[:k]) - step * l1, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t_new * (new - w)

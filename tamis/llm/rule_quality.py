@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, class_counts, labelled_sample, lasso_logistic, text_or_empty
+from ._shared import ASCII_SPACE, Sparse, class_counts, labelled_sample, lasso_logistic, text_or_empty
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", limit: in
         return RuleModel((), math.log(n1 / n0))
     rules = tree_rules(x, y, names, trees=trees, depth=depth, least=min(least, max(1, len(y) // 10)), cuts=cuts)
     hits = np.array([r.holds(x, names) for r in rules], dtype=np.float32).T.reshape(len(y), len(rules))
-    w, bias = lasso_logistic(hits, y, l1, rounds=500)
+    w, bias = lasso_logistic(Sparse.dense(hits), y, l1, rounds=500)
     bias += math.log(n1 / n0) - math.log(s1 / s0)
     return RuleModel(tuple((r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-4), bias)
 

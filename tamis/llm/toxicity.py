@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import class_counts, labelled_sample, lasso_logistic, text_or_empty
+from ._shared import Sparse, class_counts, labelled_sample, lasso_logistic, text_or_empty
 
 #: Groups of words that name people; within a group they can stand for each other.
 IDENTITY_GROUPS = (
@@ -108,19 +108,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
         ).toLocalIterator()
         lines, ys, pairs = [], [], []
 
-        def line(fs):
-            out = np.zeros(len(vocab), dtype=np.int8)
-            out[[place[f] for f in fs]] = 1
-            return out
-
         for r in rows:
-            x = line(r["x"])
-            lines.append(x)
+            x = {place[f] for f in r["x"]}
+            lines.append(dict.fromkeys(x, 1.0))
             ys.append(r["y"])
-            pairs += [x - line(r[k]) for k in ("swapped", "neutral") if r[k] is not None]
+            for k in ("swapped", "neutral"):
+                if r[k] is not None:
+                    other_x = {place[f] for f in r[k]}
+                    pairs.append(dict.fromkeys(x - other_x, 1.0) | dict.fromkeys(other_x - x, -1.0))
     finally:
         sample.unpersist()
-    w, bias = lasso_logistic(np.array(lines), np.array(ys, dtype=float), l1, np.array(pairs) if pairs else None, counterfactual)
+    k = len(vocab)
+    w, bias = lasso_logistic(Sparse.of(lines, k), np.array(ys, dtype=float), l1, Sparse.of(pairs, k), counterfactual)
     bias += math.log(n1 / n0) - math.log(s1 / s0)  # from the sample's classes to those of all labels
     return ToxicityModel({f: float(v) for f, v in zip(vocab, w, strict=True) if abs(v) > 1e-6}, bias)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.llm import rule_quality, toxicity
-from tamis.llm._shared import lasso_logistic
+from tamis.llm._shared import Sparse, lasso_logistic
 
 from odd_texts import ODD
 
@@ -97,7 +97,7 @@ def test_solver_matches_its_optimum():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (300, 6)).astype(float)
     y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0.5).astype(float)
-    w, b = lasso_logistic(x, y, 0.01, rounds=2000)
+    w, b = lasso_logistic(Sparse.dense(x), y, 0.01, rounds=2000)
     err = 1 / (1 + np.exp(-(x @ w + b))) - y
     g = x.T @ err / 300
     assert abs(err.mean()) < 1e-3 and all(abs(v) <= 0.01 + 1e-3 for v in g)
