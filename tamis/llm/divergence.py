@@ -5,12 +5,12 @@ shares of classes of characters (a median, so that the junk to be found doesn't
 and the language's commonest words beside all others. A document is compared
 with the references by the Jensen-Shannon distance, and is kept if it comes near enough to
 both histograms of one language. Texts, and languages, shorter than a minimum length give
-histograms that say little, so they aren't judged: the guard keeps such a text unless the
-base rules fail it, and drops such a language from the references.
+histograms that say little, so they aren't judged: the guard keeps such a text, and the texts
+of a language without a reference, unless the base rules fail them.
 
 References come from one aggregation over all rows; what is sent to the tasks is bounded by
 ``common`` words a language and by ``least_share``, which admits 1 / least_share languages
-at most. Judging is narrow.
+at most; a language that is rarer than that isn't judged. Judging is narrow.
 
 Defined results: a null text counts as empty and has no words; a null language is a
 language of its own; without any reference all texts pass the method's own verdict.
@@ -44,6 +44,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Reference:
     chars: tuple[float, ...]
     words: dict[str, float]
+    lang: str | None = None
 
 
 @dataclass(frozen=True)
@@ -112,7 +113,7 @@ def references(docs: DataFrame, *, common: int = 64, least_words: int = 500, lea
     for r in chars.where(keep).collect():
         n = sum(r[k] for k in CLASSES)
         if r["lang"] in enough and n:
-            found.append(Reference(tuple(r[k] / n for k in CLASSES), dict(sorted(out[r["lang"]].items()))))
+            found.append(Reference(tuple(r[k] / n for k in CLASSES), dict(sorted(out[r["lang"]].items())), r["lang"]))
     return sorted(found, key=lambda x: x.chars)
 
 
@@ -157,9 +158,10 @@ def _word_distance(text: str, refs: list[Reference]) -> list[float]:
 
 def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits()) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the distances to the nearest reference."""
+    judged = {r.lang for r in refs}
     space, symbol = CLASSES.index("space"), CLASSES.index("symbol")
 
-    def row(doc_id, text: str) -> tuple:
+    def row(doc_id, lang, text: str) -> tuple:
         data = text.encode("utf-8", "surrogatepass")
         words, chars = data.split(), class_counts(text)
         lines = [x for x in data.split(b"\n") if x.split()]
@@ -168,13 +170,13 @@ def judge(docs: DataFrame, refs: list[Reference], limits: Limits = Limits()) ->
         by_chars = [jensen_shannon((chars / total).tolist(), list(r.chars)) for r in refs]
         by_words = _word_distance(text, refs)
         worst, js_chars, js_words = min(((max(c / limits.chars, w / limits.words), c, w) for c, w in zip(by_chars, by_words, strict=True)), default=(0.0, 0.0, 0.0))
-        near = n_words < limits.least_words or worst <= 1
+        near = n_words < limits.least_words or lang not in judged or worst <= 1
         return (doc_id, n_words, len(text) - int(chars[space]), int(chars[symbol]), len(lines) - len(set(lines)), repeat, failed, not failed and near, js_chars, js_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [row(i, t) for i, t in zip(b["doc_id"], b["text"], strict=True)]
+            rows = [row(i, k if isinstance(k, str) else None, t) for i, k, t in zip(b["doc_id"], b["lang"], b["text"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", *COUNTS, "base_failed", "kept", "js_chars", "js_words"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, js_chars double, js_words double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).mapInPandas(run, schema)

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tamis.llm import divergence
 
@@ -53,3 +54,16 @@ def test_keeps_prose_and_drops_others(spark, docs_of):
     kept = {r["doc_id"]: r["kept"] for r in divergence.judge(docs, refs).collect()}
     assert all(kept[i] for i in range(40)) and not any(kept[i] for i in odd)
     assert divergence.judge(docs.limit(0), refs).count() == 0 and divergence.references(docs.limit(0)) == []
+
+
+def test_rare_language_is_not_judged(spark, docs_of):
+    rng = random.Random(1)
+    words = ["the", "of", "and", *["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(400)]]
+    prose = [" ".join(rng.choices(words, weights=[60, 50, 40] + [1] * 400, k=120)) for _ in range(20)]
+    rare = " ".join("".join(rng.choices("ქართული", k=6)) for _ in range(100))
+    docs = docs_of(dict(enumerate(prose)) | {100: rare, 101: rare + " x" * 200, 102: prose[0].upper()})
+    docs = docs.withColumn("lang", F.when(F.col("doc_id").isin(100, 101), "ka").otherwise(F.col("lang")))
+    refs = divergence.references(docs, least_words=1000)
+    assert [r.lang for r in refs] == ["en"]
+    kept = {r["doc_id"]: r["kept"] for r in divergence.judge(docs, refs).collect()}
+    assert kept[100] and not kept[101] and not kept[102]
