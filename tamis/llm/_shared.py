@@ -33,7 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: dict
     The rows with the smallest hashes of their ids are taken, so a sample is the same on
     every run. Its ids (at most sum(limits), a parameter) are broadcast and the texts stay
     where they are. Rows with a null id or label don't count; of several labels of one id
-    the largest does.
+    the largest does. Of several rows of one id the one with the smallest hash of its text
+    counts, so the limits hold for rows as well.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -45,7 +46,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: dict
     for y, limit in sorted(limits.items()):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+    rows = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "y")
 
 
 def class_counts(labels: DataFrame, label: str) -> dict[int, int]:

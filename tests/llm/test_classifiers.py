@@ -102,3 +102,15 @@ def test_solver_matches_its_optimum():
     g = x.T @ err / 300
     assert abs(err.mean()) < 1e-3 and all(abs(v) <= 0.01 + 1e-3 for v in g)
     assert np.abs(g[np.abs(w) > 1e-3] + 0.01 * np.sign(w[np.abs(w) > 1e-3])).max() < 1e-3
+
+
+def test_sample_holds_one_row_an_id(spark, docs_of):
+    from tamis.llm._shared import held_out, labelled_sample
+
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(40)])
+    docs = docs_of([f"text {i}" for i in range(40)])
+    again = docs.where(~held_out(F.col("doc_id"))).orderBy("doc_id").limit(1).crossJoin(spark.range(50)).withColumn("text", F.concat("text", F.lit(" "), F.col("id").cast("string"))).drop("id")
+    got = labelled_sample(docs.unionByName(again), labels, "quality", {0: 5, 1: 40}).collect()
+    assert len(got) == len({r["id"] for r in got}) and sum(r["y"] == 0 for r in got) == 5
+    once = labelled_sample(docs, labels, "quality", {0: 5, 1: 40}).collect()
+    assert {(r["id"], r["y"]) for r in got} == {(r["id"], r["y"]) for r in once}
