@@ -24,18 +24,49 @@ from pyspark.sql import functions as F
 
 from ._shared import Sparse, class_counts, labelled_sample, lasso_logistic, text_or_empty
 
-#: Groups of words that name people; within a group they can stand for each other.
-IDENTITY_GROUPS = (
-    ("women", "men", "girls", "boys", "trans"),
-    ("gay", "lesbian", "bisexual", "straight"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("african", "european", "american", "mexican", "chinese", "indian"),
-    ("immigrants", "refugees", "migrants", "foreigners"),
-    ("disabled", "deaf", "blind", "autistic"),
-)
-#: Stands for any of them in the second counterfactual.
+#: By the word that stands for any of them in the second counterfactual, one for each
+#: language: groups of words that name people; within a group they can stand for each other.
+GROUPS_BY_NEUTRAL = {
+    "people": (
+        ("women", "men", "girls", "boys", "trans"),
+        ("gay", "lesbian", "bisexual", "straight"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "arab"),
+        ("african", "european", "american", "mexican", "chinese", "indian"),
+        ("immigrants", "refugees", "migrants", "foreigners"),
+        ("disabled", "deaf", "blind", "autistic"),
+    ),
+    "menschen": (
+        ("frauen", "männer", "mädchen", "jungen"),
+        ("lesben", "schwule", "bisexuelle"),
+        ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+        ("schwarze", "weiße", "asiaten", "araber"),
+        ("afrikaner", "europäer", "amerikaner", "mexikaner", "chinesen", "inder"),
+        ("einwanderer", "flüchtlinge", "migranten", "ausländer"),
+        ("behinderte", "gehörlose", "blinde", "autisten"),
+    ),
+    "personnes": (
+        ("femmes", "hommes", "filles", "garçons"),
+        ("lesbiennes", "homosexuels", "bisexuels"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("noirs", "blancs", "asiatiques", "arabes"),
+        ("africains", "européens", "américains", "mexicains", "chinois", "indiens"),
+        ("immigrés", "réfugiés", "étrangers"),
+        ("handicapés", "sourds", "aveugles", "autistes"),
+    ),
+    "personas": (
+        ("mujeres", "hombres", "niñas", "niños"),
+        ("lesbianas", "homosexuales", "bisexuales"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("negros", "blancos", "asiáticos", "árabes"),
+        ("africanos", "europeos", "americanos", "mexicanos", "chinos", "indios"),
+        ("inmigrantes", "refugiados", "extranjeros"),
+        ("discapacitados", "sordos", "ciegos", "autistas"),
+    ),
+}
+IDENTITY_GROUPS = tuple(g for groups in GROUPS_BY_NEUTRAL.values() for g in groups)
+#: Stands for words of groups that aren't in the table.
 NEUTRAL = "people"
 PREFIX = 5
 
@@ -94,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
         chi = F.pow(a * s0 - b * s1, 2) * n / ((a + b) * (n - a - b + 1) * float(s0) * float(s1))
         top = [r["f"] for r in counts.where(a + b >= 3).orderBy(chi.desc(), "f").limit(vocabulary).select("f").collect()]
         named = [w for g in groups for w in g]
-        vocab = list(dict.fromkeys(top + named + [f"{w[:PREFIX]}*" for w in (*named, NEUTRAL) if len(w) > PREFIX] + [NEUTRAL]))
+        nobody = dict.fromkeys(named, NEUTRAL) | {w: n for n, known in GROUPS_BY_NEUTRAL.items() for g in known for w in g if w in named}
+        neutral = list(dict.fromkeys(nobody.values()))
+        vocab = list(dict.fromkeys(top + named + [f"{w[:PREFIX]}*" for w in (*named, *neutral) if len(w) > PREFIX] + neutral))
         place = {f: i for i, f in enumerate(vocab)}
         other = {w: g[(i + 1) % len(g)] for g in groups for i, w in enumerate(g)}
         keep = F.array(*[F.lit(f) for f in vocab])
@@ -104,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
             "y",
             held(F.col("tokens")).alias("x"),
             F.when(names, held(_swapped(F.col("tokens"), other))).alias("swapped"),
-            F.when(names, held(_swapped(F.col("tokens"), dict.fromkeys(named, NEUTRAL)))).alias("neutral"),
+            F.when(names, held(_swapped(F.col("tokens"), nobody))).alias("neutral"),
         ).toLocalIterator()
         lines, ys, pairs = [], [], []
 

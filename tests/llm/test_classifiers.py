@@ -114,3 +114,14 @@ def test_sample_holds_one_row_an_id(spark, docs_of):
     assert len(got) == len({r["id"] for r in got}) and sum(r["y"] == 0 for r in got) == 5
     once = labelled_sample(docs, labels, "quality", {0: 5, 1: 40}).collect()
     assert {(r["id"], r["y"]) for r in got} == {(r["id"], r["y"]) for r in once}
+
+
+@pytest.mark.parametrize(("group", "other", "neutral"), [("musulmans", "chrétiens", "personnes"), ("frauen", "männer", "menschen"), ("inmigrantes", "refugiados", "personas")])
+def test_counterfactuals_in_other_languages(spark, docs_of, biased, group, other, neutral):
+    docs, labels, talk = biased
+    docs = docs.withColumn("text", F.replace("text", F.lit("muslims"), F.lit(group)))
+    even = toxicity.fit(docs, labels, l1=0.02)
+    plain = toxicity.fit(docs, labels, l1=0.02, counterfactual=0.0)
+    texts = [f"{group} {talk}", f"{other} {talk}", f"{neutral} {talk}"]
+    a, b = scores(even, spark, texts), scores(plain, spark, texts)
+    assert b[0] - max(b[1:]) > 0.2 and max(a) - min(a) < 0.1 * (max(b) - min(b))
