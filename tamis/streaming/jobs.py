@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tamis-{spark.sparkContext.applicationId}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+from ..operators.stages import shared_path as shared
 
 
 def read_files(spark: SparkSession, folder: str, schema, glob: str = "*", per_batch: int = 100) -> DataFrame:
