@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.stages import written
+from ..operators.stages import discard, shared_path, written
 
-__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "held_out", "labelled_sample", "lasso_logistic", "table", "text_or_empty", "written"]
+__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "spread_join", "table", "text_or_empty", "without", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -22,6 +22,30 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, salt: Column, salts: int = 64) -> DataFrame:
+    """rows (a written table) joined to values (one row a key), a hot key's rows in up to so many parts.
+
+    Only the distinct pairs of key and salt meet values, so a key has at most ``salts`` rows
+    in that join, and each of its parts one partner in the other.
+    """
+    cell = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    of = cell.select(key, "_salt").distinct().join(values, key)
+    return cell.join(of, [key, "_salt"]).drop("_salt")
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of docs, columns and all, but for those of drop: id, text_key (xxhash64 of the text), stays.
+
+    Where stays is true, several rows are alike in id and text and one of them is kept.
+    Rows that aren't named pass without a shuffle if Spark measures drop to be small.
+    """
+    held = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("row_id"), F.xxhash64("row.text").alias("row_key"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("text_key"))
+    one = Window.partitionBy("row_id", "row_key").orderBy("row_key")
+    alike = held.join(drop.where("stays"), same, "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return held.join(drop, same, "left_anti").select("row.*").unionByName(alike.select("row.*"))
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of all documents whose labels are never learned from; a null id is held out too."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
