@@ -115,21 +115,23 @@ with d as (select doc_id, lang, coalesce(text, '') as t, length(coalesce(text, '
 k as (select doc_id, lang, n, n - length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as c1, n - length(regexp_replace(t, '\p{Ll}+', '', 'g')) as c2, n - length(regexp_replace(t, '\p{Lu}+', '', 'g')) as c3,
   n - length(regexp_replace(t, '\p{Nd}+', '', 'g')) as c4, n - length(translate(t, '#*$%&|<>', '')) as c5, n - length(translate(t, '.,;:!?"''()-', '')) as c6 from d),
 s as (select doc_id, lang, c5 as n_symbols, n - c1 as word_chars, [c1, c2, c3, c4, c5, c6, n - c1 - c2 - c3 - c4 - c5 - c6] as c, n from k),
-e as (select doc_id, lang, n, unnest(c)::double / n as share, unnest(range(7)) as i from s where n > 0),
-m as (select lang, i, quantile_disc(share, 0.5) as share from e group by all),
+e as (select doc_id, lang, unnest(c) as c, n, unnest(range(7)) as i from s where n > 0),
+hist as (select lang, i, (20000 * c + n) // (2 * n) as cell, count(*) as n from e group by all),
+cum as (select lang, i, cell, sum(n) over (partition by lang, i order by cell) as upto, sum(n) over (partition by lang, i) as total from hist),
+m as (select lang, i, min(cell) as cell from cum where 2 * upto >= total group by all),
 tok as (select doc_id, lang, trim(unnest(regexp_split_to_array(lower(t), '\s+')), '.,;:!?"''()[]#*$%&|<>') as word from d),
 tc as (select doc_id, lang, word, count(*) as n from tok where word <> '' group by all),
 lw as (select lang, word, sum(n) as n from tc group by all),
-tot as (select lang, sum(n) as total from lw group by 1),
-en as (select lang, total from tot where total >= greatest(500, 0.001 * (select sum(total) from tot))),
-rc as (select lang, i, share / sum(share) over (partition by lang) as q from m where lang in (select lang from en)),
+en as (select lang, sum(n) as total from lw group by 1 having sum(n) >= 500),
+rc as (select lang, i, cell / (sum(cell) over (partition by lang))::double as q from m join en using (lang)),
 rw as (select lang, word, n / total as q from lw join en using (lang) qualify row_number() over (partition by lang order by n desc, word) <= 64),
-jc as (select e.doc_id, rc.lang, sqrt(greatest(0, sum(case when share > 0 then share * log2(2 * share / (share + q)) else 0 end + case when q > 0 then q * log2(2 * q / (share + q)) else 0 end) / 2)) as js from e join rc using (i) group by all),
-dn as (select doc_id, sum(n) as n from tc group by 1),
-bins as (select dn.doc_id, rw.lang, coalesce(tc.n, 0) / dn.n as p, rw.q from dn cross join rw left join tc on tc.doc_id = dn.doc_id and tc.word = rw.word),
-full_bins as (from bins union all select doc_id, lang, 1 - sum(p), greatest(0, 1 - sum(q)) from bins group by all),
-jw as (select doc_id, lang, sqrt(greatest(0, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)) as js from full_bins group by all),
-near as (select jc.doc_id, min(greatest(jc.js / 0.18, coalesce(jw.js, 1) / 0.45)) as worst from jc left join jw using (doc_id, lang) group by 1),
+jc as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)) as js
+  from (select e.doc_id, e.c::double / e.n as p, rc.q from e join rc using (lang, i)) group by 1),
+dn as (select doc_id, lang, sum(n) as n from tc group by all),
+bins as (select dn.doc_id, coalesce(tc.n, 0) / dn.n as p, rw.q from dn join rw using (lang) left join tc on tc.doc_id = dn.doc_id and tc.word = rw.word),
+full_bins as (from bins union all select doc_id, 1 - sum(p), greatest(0, 1 - sum(q)) from bins group by 1),
+jw as (select doc_id, sqrt(greatest(0, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)) as js from full_bins group by 1),
+near as (select doc_id, greatest(jc.js / 0.18, coalesce(jw.js, 1) / 0.45) as worst from jc left join jw using (doc_id)),
 w as (select doc_id, unnest(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as word, unnest(range(len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')))) as i from d),
 g as (select doc_id, i, word || ' ' || lead(word) over v || ' ' || lead(word, 2) over v as gram from w window v as (partition by doc_id order by i)),
 h as (select doc_id, i from g where gram is not null qualify count(*) over (partition by doc_id, gram) > 1),
