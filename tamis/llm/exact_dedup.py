@@ -1,12 +1,15 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Rows are dealt to runs by their ids and digests. Within a run, equal digests lie sorted
-together and the best row of each is retained. In every round a fixed number of neighbouring
-runs is merged into one, keeping the best row of each digest, until one run is left; then
-the outcome goes down the same tree to every row. No task ever meets more of one digest than
-one run holds of it, plus one row from each merged run, so a text that a third of all rows
-share is no hot spot. All steps are DataFrame operations and each level is written, sorted,
-to the shared folder.
+Rows are dealt to 256 runs by their ids and digests. A run holds the best row of each of its
+digests, in the digests' order. In every round sixteen runs are merged into one, which keeps
+the best row of each digest, until one run is left.
+
+Runs lie in tables that are bucketed by the digest, each bucket sorted by digest and by the
+run that its rows will belong to. So the children of a run lie interleaved in one sorted
+file of each bucket, and merging them is one pass over it: a round neither exchanges nor
+sorts what it reads. The last run is joined to the first ones in the same way, bucket by
+bucket, and what it says goes from there to every row. No task meets more of one digest
+than a 256th of its rows, so a text that a third of all rows share is no hot spot.
 
 Digests are verified at every level: a second, independent hash and the normalised length
 must agree among rows of one SHA-256, or the job stops.
@@ -20,75 +23,108 @@ columns are carried by :func:`distinct_rows` whatever they are called.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, text_or_empty, written
+from ._shared import ASCII_SPACE, discard, shared_path, text_or_empty, without, written
 
 FAN_IN_BITS = 4
+ROUNDS = 2
 CLASH = "two texts share a SHA-256 digest"
+#: Columns by which the better of two rows sorts first.
+RANK = ("short", "no_id", "doc_id", "text_key")
 
 
 def without_space(text: Column) -> Column:
     return F.translate(text, ASCII_SPACE, "")
 
 
-def _levels(partitions: int) -> int:
-    """Rounds until 2 ** (4 * rounds) runs, at least as many as partitions, are one; 2 at least."""
-    rounds = 2
-    while (1 << (FAN_IN_BITS * rounds)) < partitions:
-        rounds += 1
-    return rounds
-
-
 def digests(docs: DataFrame, runs: int) -> DataFrame:
     """What the merge needs of each row: 32 bytes of digest instead of the text."""
     text = text_or_empty()
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.char_length(text).alias("n_chars"), without_space(text).alias("norm"))
     return made.select(
+        F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(runs)).cast("int").alias("run"),
+        F.unhex(F.sha2("norm", 256)).alias("digest"),
+        (-F.col("n_chars")).alias("short"),
+        F.col("doc_id").isNull().alias("no_id"),
         "doc_id",
         "text_key",
-        "n_chars",
-        F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.struct(F.xxhash64("norm").alias("hash"), F.octet_length("norm").alias("size")).alias("proof"),
-        F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(runs)).cast("int").alias("run"),
     )
 
 
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark counts on the order of a bucket that is one file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _run_table(df: DataFrame, name: str, buckets: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df, which has one partition a bucket, as a bucketed and sorted table in the shared folder."""
+    path = shared_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *by).sortBy(*order).saveAsTable(table)
+    out = df.sparkSession.table(table)
+    out.written_to, out.table = path, table
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    for t in tables:
+        t.sparkSession.sql(f"drop table if exists {t.table}")
+    discard(*tables)
+
+
 def _verified(lo: Column, hi: Column) -> Column:
     return F.when(lo == hi, lo).otherwise(F.raise_error(F.lit(CLASH)))
 
 
+def _merged(level: DataFrame, *keys: str) -> DataFrame:
+    """The best row of each key, its count and its proof, by one pass over sorted buckets."""
+    out = level.groupBy(*keys).agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+    return out.select(*keys, "best", "n", _verified(F.col("lo"), F.col("hi")).alias("proof"))
+
+
 def merge(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, digest, keep_id, group_size and kept of every row."""
-    rounds = _levels(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cell = Window.partitionBy("run", "digest")
-    best_first = cell.orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last(), "text_key")
-    rows = digests(docs, 1 << (FAN_IN_BITS * rounds))
-    rows = rows.repartition("run", "digest")
-    rows = written(rows.withColumn("nth", F.row_number().over(best_first)), "digest-rows")
-
-    rank = F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", F.col("run").alias("leaf"))
-    level = rows.groupBy("run", "digest").agg(F.min(rank).alias("best"), F.count("*").alias("n"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
-    levels = []
-    for _ in range(rounds):
-        level = level.select("run", "digest", "best", "n", _verified(F.col("lo"), F.col("hi")).alias("proof"))
-        level = written(level.sortWithinPartitions("run", "digest"), "digest-run")
-        levels.append(level)
-        up = level.withColumn("run", F.shiftright("run", FAN_IN_BITS))
-        level = up.groupBy("run", "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
-    known = level.select("run", "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.leaf").alias("keep_leaf"), F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(F.raise_error(F.lit(CLASH))).alias("group_size"))
-    for child in reversed(levels):
-        parent = known.select(F.col("run").alias("up"), F.col("digest").alias("of"), "keep_id", "keep_leaf", "group_size")
-        known = child.join(parent, (F.shiftright("run", FAN_IN_BITS) == F.col("up")) & (F.col("digest") == F.col("of"))).select("run", "digest", "keep_id", "keep_leaf", "group_size")
-    joined = rows.join(known, ["run", "digest"])
-    return joined.select("doc_id", "text_key", "digest", "keep_id", F.col("group_size").cast("long").alias("group_size"), ((F.col("nth") == 1) & (F.col("run") == F.col("keep_leaf"))).alias("kept"))
+    """doc_id, text_key, digest, keep_id, group_size and kept of every row, as a written table."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    up = F.shiftright("run", FAN_IN_BITS).alias("up")
+    with _sorted_buckets(spark):
+        rows = digests(docs, 1 << (FAN_IN_BITS * ROUNDS)).repartition(buckets, "run", "digest")
+        rows = _run_table(rows, "digest-rows", buckets, ("run", "digest"), ("run", "digest", *RANK))
+        best = F.struct(*RANK, F.col("run").alias("leaf")).alias("best")
+        level = _merged(rows.select("run", "digest", best, F.lit(1).alias("n"), "proof"), "run", "digest")
+        level = _run_table(level.withColumn("up", up).repartition(buckets, "digest"), "digest-runs", buckets, ("digest",), ("digest", "up"))
+        levels = [level]
+        for _ in range(ROUNDS - 1):
+            level = _merged(level, "digest", "up").withColumnRenamed("up", "run").withColumn("up", up)
+            level = _run_table(level, "digest-runs", buckets, ("digest",), ("digest", "up"))
+            levels.append(level)
+        top = _merged(level, "digest").select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.leaf").alias("keep_leaf"), F.col("n").alias("group_size"))
+        known = levels[0].select("run", "digest").join(top, "digest")
+        nth = F.row_number().over(Window.partitionBy("run", "digest").orderBy(*RANK))
+        joined = rows.select("run", "digest", *RANK).withColumn("nth", nth).join(known, ["run", "digest"])
+        kept = (F.col("nth") == 1) & (F.col("run") == F.col("keep_leaf"))
+        out = written(joined.select("doc_id", "text_key", "digest", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept")), "digest-groups")
+        _drop(rows, *levels)
+    return out
 
 
 def distinct_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, columns and all."""
-    kept = merge(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
-    held = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("row_id"), F.xxhash64("row.text").alias("row_key"))
-    stay = held.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left_semi")
-    one = Window.partitionBy("row_id", "row_key").orderBy("row_key")  # of rows repeated with id and text
-    return stay.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
+    """The rows of docs that stay, columns and all; the texts of rows that stay needn't move."""
+    merged = merge(docs)
+    drop = merged.groupBy(F.col("doc_id").alias("id"), "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
+    drop = written(drop.where("n > 1 or not stays").select("id", "text_key", "stays"), "digest-drop")
+    discard(merged)
+    return without(docs, drop)

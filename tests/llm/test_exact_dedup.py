@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tamis.llm import exact_dedup
 
@@ -45,6 +46,34 @@ def test_extra_columns_and_empty(spark, docs_of):
     assert exact_dedup.merge(docs.limit(0)).count() == 0
 
 
-def test_no_python_in_the_plan(spark, docs_of):
-    plan = exact_dedup.merge(docs_of(["a"]))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+def test_rounds_read_sorted_runs_in_place(spark, docs_of, monkeypatch):
+    """No Python; a round's plan neither exchanges nor sorts the runs that it reads."""
+    plans = []
+    take = exact_dedup._run_table
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return take(df, *args)
+
+    monkeypatch.setattr(exact_dedup, "_run_table", noted)
+    out = exact_dedup.merge(docs_of(["a", "b", "a "] * 20))
+    rows, first, *rounds = plans
+    assert len(rounds) == exact_dedup.ROUNDS - 1 and out.count() == 60
+    assert rows.count("Exchange") == first.count("Exchange") == 1 and "Sort [" not in first
+    for plan in rounds:
+        assert "SortAggregate" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert not any("Python" in p or "Pandas" in p for p in plans)
+    assert spark.sql("show tables").where("tableName like 'digest%'").count() == 0
+
+
+def test_a_clash_of_digests_stops_the_job(spark, docs_of, monkeypatch):
+    sha2 = F.sha2
+    monkeypatch.setattr(F, "sha2", lambda c, n: sha2(F.substring(c, 1, 1), n))
+    with pytest.raises(Exception, match=exact_dedup.CLASH):
+        exact_dedup.merge(docs_of(["ab", "ac"])).collect()
+
+
+def test_kept_rows_do_not_move(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = exact_dedup.distinct_rows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [coalesce" in plan and "SortMergeJoin" not in plan
