@@ -85,14 +85,10 @@ def _drop(*tables: DataFrame) -> None:
     discard(*tables)
 
 
-def _verified(lo: Column, hi: Column) -> Column:
-    return F.when(lo == hi, lo).otherwise(F.raise_error(F.lit(CLASH)))
-
-
 def _merged(level: DataFrame, *keys: str) -> DataFrame:
-    """The best row of each key, its count and its proof, by one pass over sorted buckets."""
+    """The best row of each key, its count and its proof, by one pass over sorted buckets; a count only of rows that agree."""
     out = level.groupBy(*keys).agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
-    return out.select(*keys, "best", "n", _verified(F.col("lo"), F.col("hi")).alias("proof"))
+    return out.select(*keys, "best", F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(F.raise_error(F.lit(CLASH))).alias("n"), F.col("lo").alias("proof"))
 
 
 def merge(docs: DataFrame) -> DataFrame:
