@@ -6,18 +6,21 @@ three segments. So each fingerprint is indexed under every segment with one bit
 fingerprints are then compared. A pair is accepted under the first key that shows it, once.
 
 The join is a sorted pass: rows of one key lie together, and a task compares them in arrays
-and gives back a forest that links what it found, never all pairs of a bucket. A bucket of
-more than ``block`` fingerprints isn't compared in one task; its members are written out,
-cut into blocks, and each pair of blocks becomes a group of its own, so no task holds more
-than two blocks.
+and gives back a forest that links what it found, never all pairs of a bucket. Buckets grow
+with the table. One of more than ``block`` fingerprints isn't compared as it is: of five
+parts of the bits outside the segment at least one is equal for every pair in question, so
+its members are dealt to smaller buckets by each of these parts in turn. Only what is too
+large even then (fingerprints that hardly differ) is cut into blocks, and each pair of blocks
+is a group of its own, so no task holds more than two blocks.
 
 Rows with one fingerprint are one vertex throughout. Components are found by rounds of
 alternating star contractions over tables in the shared folder; nothing of the graph comes
-to the driver but the number of edges that a round changed.
+to the driver but the number of edges that a round changed. Joins on a fingerprint, a
+vertex or a component deal each one's rows to up to 64 tasks.
 
 Defined results: null text counts as empty, no words gives fingerprint zero, which links
 like any other; repeated rows share a component; a null id is never the smallest one unless
-a component has no other; an empty table has no rows.
+a component has no other; an empty table has no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_or_empty, written
+from ._shared import discard, spread_join, text_or_empty, without, written
 
 WIDTH = 4
 SEED = 42
@@ -37,6 +40,9 @@ MOST = 4
 #: Lowest bit and width of the three segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Parts, and bits of each, that the bits outside a segment are cut into; more parts than MOST, so one is equal.
+PARTS, PART_BITS = MOST + 1, 9
+#: A link (place is -1), or a member of a bucket that was too large, with its place in it.
 _LINKS = "a long, b long, key long, member long, place long"
 
 
@@ -82,6 +88,21 @@ def variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*rows)).alias("key"), "fp")
 
 
+def smaller(large: DataFrame) -> DataFrame:
+    """key and fp: members (key, member) of large buckets, once for each part of the bits outside their segment."""
+    bit, fp, outside = F.shiftright("key", 32), F.col("member"), F
+    for low, width in SEGMENTS:
+        above = F.shiftleft(F.shiftrightunsigned(fp, low + width), low) if low + width < 64 else F.lit(0).cast("long")
+        outside = outside.when((bit >= low) & (bit < low + width), above.bitwiseOR(fp.bitwiseAND(F.lit((1 << low) - 1))))
+    part = lambda j: F.shiftrightunsigned("outside", PART_BITS * j).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    cut = large.select("key", "member", outside.alias("outside"))
+    return cut.select(F.explode(F.array(*[F.xxhash64("key", F.lit(j), part(j)) for j in range(PARTS)])).alias("key"), F.col("member").alias("fp"))
+
+
+def _near(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= MOST
+
+
 def _accepted(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether a and b link, and this key is the first that shows it."""
     diff = a ^ b
@@ -99,7 +120,7 @@ def _accepted(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ok & first
 
 
-def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, accepted) -> tuple[np.ndarray, np.ndarray]:
     """Accepted pairs among rows sorted by key, as places; all rows are compared at one distance after another."""
     at, found = np.arange(len(key)), []
     u = fp.view(np.uint64)
@@ -107,7 +128,7 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(at):
         at = at[at + step < len(key)]
         at = at[key[at] == key[at + step]]
-        ok = at[_accepted(u[at], u[at + step], key[at])]
+        ok = at[accepted(u[at], u[at + step], key[at])]
         if len(ok):
             found.append((ok, ok + step))
         step += 1
@@ -131,10 +152,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
             parent[max(x, y)] = min(x, y)
     pairs = [(root(x), x) for x in list(parent)]
     out = pd.DataFrame([(p, x) for p, x in pairs if p != x], columns=["a", "b"], dtype=np.int64)
-    return out.assign(key=np.int64(-1), member=np.int64(0), place=np.int64(0))
+    return out.assign(key=np.int64(0), member=np.int64(0), place=np.int64(-1))
 
 
-def _meet(block: int):
+def _meet(block: int, accepted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, large, place = pd.DataFrame({"key": pd.Series(dtype=np.int64), "fp": pd.Series(dtype=np.int64)}), None, 0
 
@@ -147,7 +168,7 @@ def _meet(block: int):
 
         def compare(rows):
             key, fp = rows["key"].to_numpy(), rows["fp"].to_numpy()
-            a, b = _links(key, fp)
+            a, b = _links(key, fp, accepted)
             return _forest(fp[a], fp[b])
 
         for b in batches:
@@ -177,29 +198,31 @@ def _meet(block: int):
 
 
 def _meet_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """One group: a block of a bucket, or two blocks that are compared with each other."""
-    n = len(rows)
-    fp, key = rows["member"].to_numpy(), np.full(n, rows["key"].iloc[0])
-    u, a, b = fp.view(np.uint64), [], []
-    for step in range(1, n):
-        ok = np.flatnonzero(_accepted(u[:-step], u[step:], key[step:]))
-        a.append(fp[ok])
-        b.append(fp[ok + step])
-    return _forest(np.concatenate(a), np.concatenate(b)) if a else _forest(fp[:0], fp[:0])
+    """One group: a block of a bucket, or two blocks of which each is compared with the other."""
+    fp, block = rows["member"].to_numpy(), rows["i"].to_numpy()
+    one, other = fp[block == block.min()], fp[block != block.min()]
+    a, b = [fp[:0]], [fp[:0]]
+    for i, x in enumerate(one):
+        rest = other if len(other) else one[i + 1 :]
+        found = rest[np.bitwise_count((x ^ rest).view(np.uint64)) <= MOST]
+        a.append(np.full(len(found), x))
+        b.append(found)
+    return _forest(np.concatenate(a), np.concatenate(b))
 
 
 def links(fps: DataFrame, *, block: int = 8192) -> DataFrame:
     """a and b of links that connect exactly the fingerprints within MOST bits of each other."""
-    index = variants(fps)
-    met = index.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInPandas(_meet(block), _LINKS)
-    met = written(met, "simhash-links")
-    large = met.where("key >= 0")
+    meet = lambda keyed, accepted, name: written(keyed.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInPandas(_meet(block, accepted), _LINKS), name)
+    met = meet(variants(fps), _accepted, "simhash-links")
+    more = meet(smaller(met.where("place >= 0")), _near, "simhash-smaller")
+    large = more.where("place >= 0")
     size = large.groupBy("key").agg(F.max("place").alias("last"))
-    own = F.col("place") / block
-    blocks = large.join(size, "key").select("key", "member", F.floor(own).cast("int").alias("i"), F.floor(F.col("last") / block).cast("int").alias("n"))
-    pairs = blocks.select("key", "member", F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))).alias("p"))
-    more = pairs.select("key", "member", "p.lo", "p.hi").groupBy("key", "lo", "hi").applyInPandas(_meet_blocks, _LINKS)
-    return met.where("key < 0").select("a", "b").unionByName(more.select("a", "b"))
+    of = lambda place: F.floor(F.col(place) / block).cast("int")
+    blocks = spread_join(large.select("key", "member", "place"), size, "key", F.col("place")).select("key", "member", of("place").alias("i"), of("last").alias("n"))
+    pairs = blocks.select("key", "member", "i", F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))).alias("p"))
+    last = pairs.select("key", "member", "i", "p.lo", "p.hi").groupBy("key", "lo", "hi").applyInPandas(_meet_blocks, _LINKS)
+    found = [x.where("place < 0").select("a", "b") for x in (met, more)]
+    return found[0].unionByName(found[1]).unionByName(last.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,14 +236,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).select(F.col("lo").alias("v"), F.col("hi").alias("u"))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo != hi").distinct()
+        large = spread_join(both.where("u > v"), least, "v", F.col("u")).select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo != hi").distinct()
         # Small-star: v is the larger end of each edge, so its neighbours are the smaller ones.
         large = written(large, "components")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
+        small = spread_join(large, least, "hi", F.col("lo"))
         small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), "hi"))
-        small = small.where("lo != hi").distinct()
-        edges = written(small, "components")
+        old, edges = edges, written(small.where("lo != hi").distinct(), "components")
+        discard(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -236,13 +259,12 @@ def near_duplicates(docs: DataFrame, *, block: int = 8192) -> DataFrame:
     roots = components(links(fps.select("fp"), block=block))
     known = written(fps.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = known.join(first, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "text_key", "fp", "component_id")
+    of = spread_join(known, first, "root", F.col("fp")).select("fp", "component_id")
+    return spread_join(rows, of, "fp", F.struct("doc_id", "text_key")).select("doc_id", "text_key", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, *, block: int = 8192) -> DataFrame:
-    """The rows of docs, columns and all, whose id is the smallest of their component."""
-    kept = near_duplicates(docs, block=block).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "text_key").distinct()
-    held = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("row_id"), F.xxhash64("row.text").alias("row_key"))
-    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("text_key"))
-    return held.join(kept, same, "left_semi").select("row.*")
+    """The rows of docs, columns and all, whose id is the smallest of their component; of rows alike in id and text one."""
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    drop = near_duplicates(docs, block=block).groupBy(F.col("doc_id").alias("id"), "text_key").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
+    return without(docs, written(drop.where("n > 1 or not stays").select("id", "text_key", "stays"), "simhash-drop"))

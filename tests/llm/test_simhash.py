@@ -45,7 +45,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("block", [8192, 5])
+@pytest.mark.parametrize("block", [8192, 20, 3])
 def test_components_equal_all_pairs(spark, block):
     rng = random.Random(5)
     fps = [0, signed((1 << 64) - 1)]
@@ -85,6 +85,40 @@ def test_near_duplicates(spark, docs_of, sf_dir):
         assert r["fp"] == fps[r["doc_id"]] and r["component_id"] == least[root[r["fp"]]]
 
 
+def test_smaller_buckets_lose_no_link(spark):
+    """Members of one bucket that are near enough share a part of the bits outside its segment."""
+    rng = random.Random(8)
+    rows = []
+    for n, (low, width) in enumerate(simhash.SEGMENTS):
+        x = rng.getrandbits(64)
+        outside = [b for b in range(64) if not low <= b < low + width]
+        for _ in range(60):
+            y = x
+            for b in rng.sample(outside, 4):
+                y ^= 1 << b
+            rows += [(n, (low << 32), signed(x)), (n, (low << 32), signed(y))]
+            x = y
+    df = spark.createDataFrame(rows, "n int, key long, member long")
+    dealt = {}
+    for r in simhash.smaller(df.select("key", "member")).collect():
+        dealt.setdefault(r["fp"], set()).add(r["key"])
+    assert all(len(keys) == simhash.PARTS for keys in dealt.values())
+    for (_, _, a), (_, _, b) in zip(rows[::2], rows[1::2], strict=True):
+        assert dealt[a] & dealt[b]
+
+
+def test_one_giant_component(spark, docs_of):
+    """A star, a clique of copies and rows alike in id and text; hot keys are dealt to many tasks."""
+    star = spark.createDataFrame([(5, i) for i in range(6, 3000)] + [(i, i + 1) for i in range(5000, 5040)], "a long, b long")
+    got = {r["v"]: r["root"] for r in simhash.components(star).collect()}
+    assert {got[i] for i in range(5, 3000)} == {5} and {got[i] for i in range(5000, 5041)} == {5000}
+    rows = [(i, "one hot text of words") for i in range(50, 1500)] + [(7, "one hot text of words")] * 3 + [(3, "another text altogether")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(docs).groupBy("component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 1), (7, 1453)]
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == [3, 7]
+
+
 def test_odd_tables(spark, docs_of):
     docs = docs_of(ODD, extra=True)
     kept = simhash.representatives(docs)
