@@ -1,24 +1,29 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes, by id and text, into one of thousands of slots, for ever; so an id that
-many rows share makes no hot slot. A slot map says which shard
-holds a slot; it has versions, and rebalancing writes a new version that differs from the
-last one in as few slots as it can. Rows never move but with their slot. The map is one row
-a slot, so it is small whatever the table's size and may be broadcast.
+many rows share makes no hot slot. A slot map says which shard holds a slot. It is stored
+with its versions: rebalancing reads the newest one, edits as few slots as it can, and
+appends the edited map as the next version. Rows never move but with their slot. The map is
+one row a slot, so it is small whatever the table's size and may be broadcast.
 
 The map that :func:`rebalance` edits keeps the law ``bytes``: the shards' sizes come near
-equal. Defined results: a null text has no bytes, a null id hashes like any other value,
-rows alike in id and text fall into one slot, an empty table leaves the map as it is.
+equal. Rows alike in id and text fall into one slot, unless they are so many that the slot
+would hold more than a 64th of a shard: such rows, which nothing tells apart, are dealt to
+all slots by their places in the table.
+
+Defined results: a null text has no bytes, a null id hashes like any other value, an empty
+table leaves the map as it is, other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import text_or_empty, written
+from ._shared import shared_path, text_or_empty, written
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, vslot int, shard int"
@@ -76,25 +81,51 @@ def rebalance(shard_of: list[int], size: dict[int, int], shards: int, tolerance:
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every row."""
+    """doc_id, size, text_crc32, key (a hash of the record) and virtual slot of every row."""
     text = text_or_empty().cast("binary")
     return docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.xxhash64("doc_id", text).alias("key"),
         slot_of(F.col("doc_id"), text, slots=slots).alias("vslot"),
     )
 
 
+def dealt(rows: DataFrame, shards: int, slots: int = SLOTS, share: int = 64) -> DataFrame:
+    """rows (a written table), those of a key that fills more than 1 / share of a shard dealt to all slots.
+
+    Such keys are at most shards * share, and groups are summed before the shuffle.
+    """
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = rows.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    large = [r["key"] for r in groups.where((F.col("n") > 1) & (F.col("b") * shards * share > total)).select("key").collect()]
+    if not large:
+        return rows
+    place = F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    return written(rows.withColumn("vslot", F.when(F.col("key").isin(large), place).otherwise(F.col("vslot"))), "slot-rows")
+
+
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
     """Bytes of each slot; as many values as slots at most."""
     return {r["vslot"]: r["b"] for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()}
 
 
-def map_versions(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
+def append_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
+    """Add a version to the map stored at a path."""
+    rows = [(version, s, k) for s, k in enumerate(shard_of)]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
     """The stored map: one row a version and slot."""
-    rows = [(v, s, k) for v, m in enumerate(versions) for s, k in enumerate(m)]
-    return written(spark.createDataFrame(rows, MAP_SCHEMA), "slot-map")
+    return spark.read.schema(MAP_SCHEMA).parquet(path)
+
+
+def newest(stored: DataFrame) -> tuple[int, list[int]]:
+    """Number and slots of the last version; one value a slot comes to the driver."""
+    version = stored.agg(F.max("version")).first()[0]
+    return version, [r["shard"] for r in stored.where(F.col("version") == version).orderBy("vslot").collect()]
 
 
 def place(rows: DataFrame, stored: DataFrame, version: int) -> DataFrame:
@@ -113,9 +144,23 @@ def place(rows: DataFrame, stored: DataFrame, version: int) -> DataFrame:
     return joined.select("doc_id", "size", "text_crc32", "vslot", F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("nth")).cast("long").alias("slot"))
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Rows with their shards under a rebalanced map, and the stored map with both its versions."""
-    rows = written(sized(docs, slots), "slot-rows")  # the texts are read once
-    first = first_map(shards, slots)
-    stored = map_versions(docs.sparkSession, [first, rebalance(first, slot_bytes(rows), shards)])
-    return place(rows, stored, 1), stored
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with their shards under a rebalanced map, and the stored map with all its versions.
+
+    map_path: where the map is stored; without it, or at a path without a map, a new one begins
+    with version 0. A version is only added where the edited map differs from the last one.
+    """
+    spark = docs.sparkSession
+    rows = dealt(written(sized(docs, slots), "slot-rows"), shards, slots)  # the texts are read once
+    path = map_path or shared_path(spark, "slot-map")
+    try:
+        version, last = newest(read_map(spark, path))
+    except AnalysisException:  # no such path
+        version, last = 0, first_map(shards, slots)
+        append_map(spark, path, version, last)
+    edited = rebalance(last, slot_bytes(rows), shards)
+    if edited != last:
+        version += 1
+        append_map(spark, path, version, edited)
+    stored = read_map(spark, path)
+    return place(rows, stored, version), stored
