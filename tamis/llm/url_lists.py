@@ -6,8 +6,9 @@ when it was fetched, not by today's list. A pattern is a domain and covers its s
 
 A verdict depends on host and fetch time alone, so it is made once for each pair of them and
 then joined to the captures; the pairs of a hot host are as many as its fetch times. The
-as-of join is an equality join on the domain with a condition on time; Spark may split a hot
-side of it. No list is broadcast unless Spark has measured it to be small.
+as-of join is an equality join on the domain with a condition on time. A domain that most
+hosts share, such as a top-level one, is met by its entries in up to 64 parts, and by no host
+if no list names it. No list is broadcast unless Spark has measured it to be small.
 
 Of several entries for one pattern, list and day, a removal wins. Intervals are closed at
 their start and open at their end. A pattern on an allow list overrides blocks on shorter or
@@ -49,7 +50,10 @@ def verdicts(visits: DataFrame, spans: DataFrame, allow: str = "allow") -> DataF
     """host, fetched, lists, pattern (the longest active one), blocked, for each distinct host and fetch time that an entry covers."""
     keys = visits.where(F.col("host").isNotNull() & F.col("fetched").isNotNull()).distinct()
     tried = keys.select("host", "fetched", F.explode(suffixes(F.col("host"))).alias("domain"))
-    active = tried.join(spans, (F.col("domain") == F.col("pattern")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    tried = tried.withColumn("part", F.pmod(F.xxhash64("host", "fetched"), F.lit(64)).cast("int"))
+    listed = tried.select("domain", "part").distinct().join(spans.withColumnRenamed("pattern", "domain"), "domain")
+    asof = (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
+    active = tried.join(listed, ["domain", "part"]).where(asof).withColumnRenamed("domain", "pattern")
     size = F.char_length("pattern")
     allowed, blocking = F.when(F.col("list") == allow, size), F.when(F.col("list") != allow, size)
     out = active.groupBy("host", "fetched").agg(

@@ -47,3 +47,19 @@ def test_captures_against_a_plain_search(spark):
     assert url_lists.evaluate(df, entries(spark, []).limit(0)).where("blocked").count() == 0
     assert url_lists.evaluate(df.limit(0), entries(spark)).count() == 0
     assert "Python" not in url_lists.evaluate(df, entries(spark))._jdf.queryExecution().toString().replace("ExistingRDD", "")
+
+
+def test_clashing_columns_and_very_long_urls(spark):
+    from pyspark.sql import functions as F
+
+    long = "https://" + ".".join(["a" * 60] * 40) + ".bad.example.com/" + "p" * 200_000
+    df = spark.createDataFrame([(1, long, day(12)), (2, "https://bad.example.com", day(12)), (3, "x" * 100_000, day(12))], "page_id long, url string, fetched date")
+    names = ("host", "lists", "pattern", "blocked", "domain", "part", "list", "day", "action", "valid_from", "valid_to")
+    got = {r["page_id"]: r for r in url_lists.evaluate(df.withColumns({k: F.lit(1) for k in names}), entries(spark).withColumns({"host": F.lit(1), "part": F.lit(2)})).collect()}
+    assert got[1]["blocked"] and got[1]["lists"] == got[2]["lists"] == "adult,spam" and got[3]["host"] is None
+
+
+def test_a_top_level_domain_on_a_list(spark):
+    df = spark.createDataFrame([(i, f"https://h{i}.zip/", day(i % 3)) for i in range(300)], "page_id long, url string, fetched date")
+    got = url_lists.evaluate(df, entries(spark, [("spam", "zip", "add", day(1))])).groupBy("blocked").count().collect()
+    assert {r["blocked"]: r["count"] for r in got} == {True: 200, False: 100}
