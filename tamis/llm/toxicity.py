@@ -92,16 +92,31 @@ class ToxicityModel:
     weights: dict[str, float]
     intercept: float
 
+    pairs: int = 0  # counterfactual copies that the fit compared
+
     def score(self, text: Column) -> Column:
         """Probability that a text is toxic."""
         total = F.lit(self.intercept)
+        whole = {f: w for f, w in self.weights.items() if not f.endswith("*")}
+        starts = {f[:-1]: w for f, w in self.weights.items() if f.endswith("*")}
         if self.weights:
-            known = F.create_map(*[F.lit(x) for pair in sorted(self.weights.items()) for x in pair])
-            hits = F.array_intersect(features(words(text)), F.array(*[F.lit(w) for w in sorted(self.weights)]))
-            total = F.aggregate(hits, total, lambda acc, w: acc + F.element_at(known, w))
+            found = words(text)
+            # Few words of a text have a weight; only those are looked up.
+            hits = F.filter(found, lambda w: w.isin(*sorted(whole))) if whole else F.array().cast("array<string>")
+            begin = lambda w: F.substring(w, 1, PREFIX)
+            met = F.filter(found, lambda w: begin(w).isin(*sorted(starts)) & (F.char_length(w) > PREFIX)) if starts else F.array().cast("array<string>")
+            total = _summed(hits, whole, total)
+            total = _summed(F.array_distinct(F.transform(met, begin)), starts, total)
         return 1 / (1 + F.exp(-total))
 
 
+def _summed(hits: Column, weights: dict[str, float], total: Column) -> Column:
+    if not weights:
+        return total
+    known = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
+    return F.aggregate(hits, total, lambda acc, w: acc + F.element_at(known, w))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 8000, vocabulary: int = 2048, l1: float = 0.0004, counterfactual: float = 1.0, groups=IDENTITY_GROUPS) -> ToxicityModel:
     """Learn from labelled documents that aren't held out.
 
@@ -154,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     k = len(vocab)
     w, bias = lasso_logistic(Sparse.of(lines, k), np.array(ys, dtype=float), l1, Sparse.of(pairs, k), counterfactual)
     bias += math.log(n1 / n0) - math.log(s1 / s0)  # from the sample's classes to those of all labels
-    return ToxicityModel({f: float(v) for f, v in zip(vocab, w, strict=True) if abs(v) > 1e-6}, bias)
+    return ToxicityModel({f: float(v) for f, v in zip(vocab, w, strict=True) if abs(v) > 1e-6}, bias, len(pairs))
 
 
 def classify(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
