@@ -23,30 +23,67 @@ from pyspark.sql import functions as F
 from ._shared import ASCII_SPACE, Sparse, class_counts, labelled_sample, lasso_logistic, text_or_empty
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text, each a double."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    count = lambda chars: F.char_length(text) - F.char_length(F.translate(text, chars, ""))
-    n_chars, n_words, n_lines = F.char_length(text).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
-    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
-    upper = n_chars - F.char_length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    letters = n_chars - F.char_length(F.regexp_replace(text, r"\p{L}+", ""))
+#: Statistics of a text, in the order in which they are compiled.
+NAMES = ("n_words", "word_length", "words_a_line", "unique_words", "unique_lines", "symbols_a_word", "marks_a_word", "stops_a_word", "digits", "letters", "upper")
+#: Characters that are counted, by the one that stands for all of a class.
+COUNTED = {"#": "#*$%&|<>{}[]\\^~=_", "!": "!?", ".": ".,;:", "0": "0123456789", " ": ASCII_SPACE}
+
+
+def _parts(text: Column) -> list[Column]:
+    """What the statistics are made of; each costs one pass over the text."""
+    kinds = F.translate(text, "".join(COUNTED.values()), "".join(k * len(v) for k, v in COUNTED.items()))
+    return [
+        text.alias("text"),
+        F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"),
+        F.array_remove(F.split(text, "\n"), "").alias("lines"),
+        kinds.alias("kinds"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{L}+", ""))).cast("double").alias("n_letters"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("double").alias("n_upper"),
+    ]
+
+
+def _sizes() -> list[Column]:
+    size = lambda c: F.size(c).cast("double")
+    count = lambda k: F.octet_length("kinds") - F.octet_length(F.replace("kinds", F.lit(k), F.lit("")))
+    return [
+        F.char_length("text").cast("double").alias("n_chars"),
+        size("words").alias("n_words"),
+        size("lines").alias("n_lines"),
+        size(F.array_distinct("words")).alias("n_unique_words"),
+        size(F.array_distinct("lines")).alias("n_unique_lines"),
+        *[count(k).cast("double").alias(f"n_{i}") for i, k in enumerate(COUNTED)],
+        "n_letters",
+        "n_upper",
+    ]
+
+
+def _shares() -> dict[str, Column]:
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
     return {
-        "n_words": n_words,
-        "word_length": share(n_chars - count(ASCII_SPACE), n_words),
-        "words_a_line": share(n_words, n_lines),
-        "unique_words": share(F.size(F.array_distinct(words)).cast("double"), n_words),
-        "unique_lines": share(F.size(F.array_distinct(lines)).cast("double"), n_lines),
-        "symbols_a_word": share(count("#*$%&|<>{}[]\\^~=_").cast("double"), n_words),
-        "marks_a_word": share(count("!?").cast("double"), n_words),
-        "stops_a_word": share(count(".,;:").cast("double"), n_words),
-        "digits": share(count("0123456789").cast("double"), n_chars),
-        "letters": share(letters, n_chars),
-        "upper": share(upper, letters),
+        "n_words": F.col("n_words"),
+        "word_length": F.when(F.col("n_words") > 0, (F.col("n_chars") - F.col("n_4")) / F.col("n_words")).otherwise(0.0),
+        "words_a_line": share("n_words", "n_lines"),
+        "unique_words": share("n_unique_words", "n_words"),
+        "unique_lines": share("n_unique_lines", "n_lines"),
+        "symbols_a_word": share("n_0", "n_words"),
+        "marks_a_word": share("n_1", "n_words"),
+        "stops_a_word": share("n_2", "n_words"),
+        "digits": share("n_3", "n_chars"),
+        "letters": share("n_letters", "n_chars"),
+        "upper": share("n_upper", "n_letters"),
     }
 
 
+def with_statistics(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The kept columns, and a double for each of NAMES.
+
+    A statistic is computed once a row: generators stand between the steps, so that no
+    later filter or projection can take an expression back into itself.
+    """
+    once = lambda of, columns: of.select(*keep, F.inline(F.array(F.struct(*columns))))
+    return once(once(once(df, _parts(text)), _sizes()), [c.alias(k) for k, c in _shares().items()])
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (statistic, is above the bound, bound)."""
@@ -123,9 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", limit: in
     if not n0 or not n1:
         return RuleModel((), 30.0 if n1 else -30.0 if n0 else 0.0)
     sample = labelled_sample(docs, labels, label, {0: limit, 1: limit})
-    stats = statistics(F.col("text"))
-    got = np.array([tuple(r) for r in sample.select("y", *[c.alias(k) for k, c in stats.items()]).collect()], dtype=float).reshape(-1, len(stats) + 1)
-    y, x, names = got[:, 0], got[:, 1:], list(stats)
+    names = list(NAMES)
+    stats = with_statistics(sample.select("y", F.col("text").alias("body")), F.col("body"), "y")
+    got = np.array([tuple(r) for r in stats.collect()], dtype=float).reshape(-1, len(names) + 1)
+    y, x = got[:, 0], got[:, 1:]
     s1 = int(y.sum())
     s0 = len(y) - s1
     if not s0 or not s1:
@@ -137,8 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", limit: in
     return RuleModel(tuple((r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-4), bias)
 
 
+def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """row (a struct of all columns of docs) and score of every document."""
+    rows = docs.select(F.struct("*").alias("row"))
+    return with_statistics(rows, F.coalesce(F.col("row.text").cast("string"), F.lit("")), "row").select("row", model.score({k: F.col(k) for k in NAMES}).alias("score"))
+
+
 def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every document."""
-    stats = statistics(text_or_empty())
-    known = docs.select("doc_id", *[c.alias(k) for k, c in stats.items()])  # each statistic once, then the rules
-    return known.select("doc_id", model.score({k: F.col(k) for k in stats}).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    known = with_statistics(docs.select("doc_id", text_or_empty().alias("body")), F.col("body"), "doc_id")
+    return known.select("doc_id", model.score({k: F.col(k) for k in NAMES}).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,8 +1,11 @@
+import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from tamis.llm import rule_quality, toxicity
@@ -42,6 +45,7 @@ def test_counterfactuals_even_out_groups(spark, biased):
     docs, labels, talk = biased
     even = toxicity.fit(docs, labels, l1=0.02)
     plain = toxicity.fit(docs, labels, l1=0.02, counterfactual=0.0)
+    assert even.pairs == plain.pairs > 100
     texts = [f"muslims {talk}", f"christians {talk}", f"people {talk}", f"zorgish {talk}"]
     a, b = scores(even, spark, texts), scores(plain, spark, texts)
     assert b[0] - max(b[1:3]) > 0.2, b  # the plain fit takes the group's name for toxic
@@ -63,21 +67,63 @@ def test_degenerate_labels(spark, docs_of):
     assert rule_quality.classify(docs.limit(0), rule_quality.RuleModel((), 0.0)).count() == 0
 
 
-def test_statistics_of_odd_texts(spark, docs_of):
-    stats = rule_quality.statistics(F.coalesce("text", F.lit("")))
-    for r in docs_of(ODD).select(*[c.alias(k) for k, c in stats.items()]).collect():
-        assert all(v is not None and v >= 0 for v in r)
+def plain_statistics(text):
+    """The statistics of one text by plain Python."""
+    cat = unicodedata.category
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if x]
+    count = lambda chars: sum(c in chars for c in text)
+    share = lambda a, b: a / b if b else 0.0
+    letters, upper = sum(cat(c)[0] == "L" for c in text), sum(cat(c) == "Lu" for c in text)
+    n = len(words)
+    return [n, share(len(text) - count(" \t\n\x0b\x0c\r"), n), share(n, len(lines)), share(len(set(words)), n), share(len(set(lines)), len(lines)),
+            share(count("#*$%&|<>{}[]\\^~=_"), n), share(count("!?"), n), share(count(".,;:"), n), share(count("0123456789"), len(text)), share(letters, len(text)), share(upper, letters)]
 
 
-def test_compiled_rules_equal_the_matrix(spark, sf_dir):
+def statistics_of(docs):
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    return [list(r)[1:] for r in rule_quality.with_statistics(df, F.col("body"), "doc_id").orderBy("doc_id").collect()]
+
+
+def test_statistics_equal_plain_ones(spark, docs_of, sf_dir):
+    texts = [*ODD, "ÀÉß ǅ #!?.;: {x}[y] 12٣\n\n \nÀÉß\r\nÀÉß", "a\n \na\n\n b\\^~=_|"]
+    assert statistics_of(docs_of(texts, extra=True)) == [plain_statistics(t or "") for t in texts]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert statistics_of(docs) == [plain_statistics(r["text"] or "") for r in docs.orderBy("doc_id").collect()]
+
+
+def test_compiled_rules_equal_plain_rules(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = rule_quality.fit(docs, labels, trees=6, least=3)
     assert model.rules
-    stats = rule_quality.statistics(F.coalesce("text", F.lit("")))
-    x = np.array([tuple(r) for r in docs.orderBy("doc_id").select(*[c.alias(k) for k, c in stats.items()]).collect()])
-    total = model.intercept + sum(w * r.holds(x, list(stats)) for r, w in model.rules)
+    x = np.array([plain_statistics(r["text"] or "") for r in docs.orderBy("doc_id").collect()])
+    total = model.intercept + sum(w * r.holds(x, list(rule_quality.NAMES)) for r, w in model.rules)
     got = [r["score"] for r in rule_quality.classify(docs, model).orderBy("doc_id").collect()]
     assert np.allclose(got, 1 / (1 + np.exp(-total)))
+    same = {r["row"]["doc_id"]: r["score"] for r in rule_quality.scored(docs, model).collect()}
+    assert [same[k] for k in sorted(same)] == got
+
+
+def plain_toxicity(model, text):
+    found = {w for w in re.split(r"[^\p{L}]+", text.lower()) if w}
+    found |= {w[: toxicity.PREFIX] + "*" for w in found if len(w) > toxicity.PREFIX}
+    return 1 / (1 + math.exp(-model.intercept - sum(model.weights.get(w, 0.0) for w in found)))
+
+
+def test_toxicity_scores_equal_plain_ones(spark, docs_of):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    assert any(f.endswith("*") for f in model.weights) and not all(f.endswith("*") for f in model.weights)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity.classify(docs, model).collect():
+        assert math.isclose(r["score"], plain_toxicity(model, texts[r["doc_id"]]), rel_tol=1e-9)
+    odd = [*ODD, " ".join([*list(model.weights)[:40], "x"])]
+    for r in toxicity.classify(docs_of(odd, extra=True), model).collect():
+        assert math.isclose(r["score"], plain_toxicity(model, odd[r["doc_id"]] or ""), rel_tol=1e-9)
+    for weights in ({}, {"abc": 1.0}, {"abcde*": 1.0}):
+        only = toxicity.ToxicityModel(weights, -1.0)
+        for r in toxicity.classify(docs_of(["abc", "abcdef abcdeg", "ABC abcde", None]), only).collect():
+            assert math.isclose(r["score"], plain_toxicity(only, ["abc", "abcdef abcdeg", "ABC abcde", ""][r["doc_id"]]))
 
 
 @pytest.mark.parametrize(("module", "label", "threshold"), [(toxicity, "toxic", 0.5), (rule_quality, "quality", 0.3)])
