@@ -76,16 +76,25 @@ def work_mode(text: Column, modes: Sequence[tuple[str, Sequence[str]]] = WORK_MO
     return found if hint is None else F.coalesce(hint, found)
 
 
+def place_words(text: Column) -> Column:
+    """Lower-case words of a place or label, split at whatever is no letter or digit."""
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}0-9]+"), "")
+
+
 def infer_country(df: DataFrame, label: str, dim: DataFrame, home: str | None = None, vague: Sequence[str] = ("", "europe", "remote")) -> DataFrame:
     """df with country_code: the code of the first place name (by ord) that the label holds as whole words.
 
-    dim: name, code, ord; a list of places, broadcast because it is a bounded parameter table.
-    Labels are matched once each, however many rows carry one.
+    dim: name, code, ord. Labels are matched once each, however many rows carry one: every run
+    of a label's words that is no longer than the longest name meets the names by equality.
     """
     low = F.lower(F.trim(label))
-    labels = df.select(F.col(label).alias("_label")).distinct()
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("_label"), "[^\\p{L}0-9]+", " "), F.lit(" "))
-    named = labels.join(F.broadcast(dim), F.contains(padded, F.concat(F.lit(" "), F.lower("name"), F.lit(" "))))
+    names = dim.select(place_words(F.col("name")).alias("_words"), "code", "ord")
+    longest = names.agg(F.max(F.size("_words"))).first()[0] or 0
+    labels = df.select(F.col(label).alias("_label")).distinct().select("_label", place_words(F.col("_label")).alias("_w"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    runs = [F.when(F.size("_w") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
+    tried = labels.select("_label", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_name")) if runs else labels.select("_label", F.lit(None).cast("string").alias("_name"))
+    named = tried.join(names.select(F.array_join("_words", " ").alias("_name"), "code", "ord"), "_name")
     codes = named.groupBy("_label").agg(F.min_by("code", "ord").alias("_code"))
     joined = df.join(codes, F.col(label) == F.col("_label"), "left")
     return joined.withColumn("country_code", F.coalesce("_code", F.when(low.isin(*vague), F.lit(home)))).drop("_label", "_code")
@@ -170,6 +179,19 @@ def partial_flag(text: Column, short: int = 120, cap: int = 500) -> Column:
     return ((n > 0) & (n < short)) | (n >= cap)
 
 
+# Zone names of mail dates.
+ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
+def mail_time(text: Column) -> Column:
+    """A timestamp from a date like 'Tue, 3 Jun 2003 04:00:00 GMT'; weekday and seconds may be missing."""
+    plain = F.regexp_replace(F.trim(text), "^[A-Za-z]+, *", "")
+    zones = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    offset = F.try_element_at(zones, F.upper(F.regexp_extract(plain, "([A-Za-z]+)$", 1)))
+    plain = F.coalesce(F.concat(F.regexp_replace(plain, "[A-Za-z]+$", ""), offset), plain)
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f"d MMM yyyy {t} Z")) for t in ("HH:mm:ss", "HH:mm")])
+
+
 def time_canon(seconds: Column | None = None, millis: Column | None = None, text: Column | None = None, first_seen: Column | None = None) -> Column:
     """A timestamp from whichever form a feed gives; first_seen where it gives none."""
     found = []
@@ -178,7 +200,7 @@ def time_canon(seconds: Column | None = None, millis: Column | None = None, text
     if millis is not None:
         found.append(F.timestamp_millis(millis))
     if text is not None:
-        found += [F.try_to_timestamp(text), F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))]
+        found += [F.try_to_timestamp(text), mail_time(text)]
     return F.coalesce(*found, *([first_seen] if first_seen is not None else []))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stages import written
+from .stages import discard, written
 
 
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -40,7 +40,8 @@ def two_key_dedup(df: DataFrame, key_a: str, key_b: str, order: str) -> DataFram
         first_b = left.groupBy("b").agg(F.min("o").alias("fb"))
         now = written(first_a.join(first_b, F.col("fa") == F.col("fb")).select(F.col("fa").alias("o"), "a", "b"), "two-key-kept")
         kept = now if kept is None else kept.unionByName(now)
-        left = written(left.join(now.select("a"), left["a"].eqNullSafe(now["a"]), "left_anti").join(now.select(F.col("b").alias("kb")), F.col("b").eqNullSafe(F.col("kb")), "left_anti"), "two-key")
+        old, left = left, written(left.join(now.select("a"), left["a"].eqNullSafe(now["a"]), "left_anti").join(now.select(F.col("b").alias("kb")), F.col("b").eqNullSafe(F.col("kb")), "left_anti"), "two-key")
+        discard(old)
         if left.isEmpty():
             break
     return df.join(kept.select(F.col("o").alias(order)), order, "left_semi")

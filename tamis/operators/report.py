@@ -14,6 +14,18 @@ def window_rows(rows: DataFrame, as_of: Column, days: int | str | None) -> DataF
     return rows.where(F.col("ts") >= as_of - F.expr(f"interval {n} days"))
 
 
+def within_windows(rows: DataFrame, as_of: Column, windows: tuple) -> DataFrame:
+    """days and n for each window, all counted in one pass; days as in window_rows."""
+    since = lambda d: F.lit(True) if d == "all" else F.col("ts") >= as_of - F.expr(f"interval {d if d in (7, 30, 90) else 30} days")
+    once = rows.agg(*[F.count_if(since(d)).alias(str(d)) for d in windows])
+    return once.select(F.explode(F.array(*[F.struct(F.lit(str(d)).alias("days"), F.col(str(d)).alias("n")) for d in windows])).alias("w")).select("w.*")
+
+
+def primary_else(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The primary rows, or the fallback's where there isn't one primary row."""
+    return primary.unionByName(fallback.where(~primary.select(F.lit(1)).exists()))
+
+
 def counts(rows: DataFrame, by: Column, name: str) -> DataFrame:
     return rows.groupBy(by.alias(name)).agg(F.count("*").alias("n"))
 
@@ -23,7 +35,7 @@ def status_breakdown(rows: DataFrame) -> DataFrame:
 
 
 def bundle(rows: DataFrame) -> DataFrame:
-    """section, label and n of all counts, by one pass with grouping sets."""
+    """section, label and n of all counts: each row gives one label for each section, counted together."""
     day = F.date_format("ts", "yyyy-MM-dd")
     rows = rows.select("status", F.col("source").alias("source"), F.coalesce("country", F.lit("Unknown")).alias("country"), day.alias("day"), F.when(F.col("status") == "applied", F.col("source")).alias("applied_source"))
     sets = ("source", "country", "status", "day", "applied_source")
@@ -37,6 +49,12 @@ def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *safe), F.lit(" |"))
 
 
+def details(rows: DataFrame, place: str, lines: list[Column]) -> DataFrame:
+    """place, nth and line: some lines on each of a few best rows; a line that is null is left out."""
+    told = F.filter(F.array(*lines), lambda x: x.isNotNull())
+    return rows.select(place, F.posexplode(told).alias("nth", "line"))
+
+
 def slim(df: DataFrame, caps: dict[str, int], blank: tuple[str, ...], lists: dict[str, int]) -> DataFrame:
     """A copy for keeping: large texts blank or cut, arrays short."""
     return df.withColumns({c: F.lit("") for c in blank} | {c: F.substring(c, 1, n) for c, n in caps.items()} | {c: F.slice(c, 1, n) for c, n in lists.items()})

@@ -10,9 +10,10 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.infer import detect_language
 from ..functions.text import SPACE, alternation, any_of, hits, word_count
 
 
@@ -33,11 +34,23 @@ class RulePack:
             df = df.where(~F.coalesce(c, F.lit(False)))
         return df
 
-    def funnel(self, df: DataFrame) -> DataFrame:
-        """stage, reason, n and left: rows each rule rejects, and rows left after it, in the rules' order."""
-        counts = self.apply(df).groupBy("reject_reason").agg(F.count("*").alias("n"))
+    def funnel(self, df: DataFrame, breaks: Mapping[str, Column] | None = None) -> DataFrame:
+        """stage, reason, detail, n and percent (of all rows of df), in the rules' order, in one pass.
+
+        breaks gives a detail for the rows that a rule rejects; such a rule has one line a detail.
+        """
+        parts = F.coalesce(*[F.when(F.col("reject_reason") == r, c) for r, c in (breaks or {}).items()], F.lit(None).cast("string"))
+        counts = self.apply(df).groupBy("reject_reason", parts.alias("detail")).agg(F.count("*").alias("n"))
+        everything = Window.partitionBy()  # a row a rule and detail
+        counts = counts.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(everything), 2))
         order = df.sparkSession.createDataFrame([(i, r) for i, (r, _) in enumerate(self.rules)], "stage int, reason string")
-        return order.join(F.broadcast(counts), F.col("reason") == F.col("reject_reason"), "left").select("stage", "reason", F.coalesce("n", F.lit(0)).alias("n"))
+        lines = order.join(counts, F.col("reason") == F.col("reject_reason"), "left")
+        return lines.select("stage", "reason", "detail", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("percent", F.lit(0.0)).alias("percent"))
+
+    def purge(self, df: DataFrame, key: str, details: Mapping[str, Column]) -> DataFrame:
+        """key, rule and detail of every row that a rule rejects, as a purge of old rows lists them."""
+        text = F.coalesce(*[F.when(F.col("reject_reason") == r, c.cast("string")) for r, c in details.items()], F.lit(""))
+        return self.apply(df).where(F.col("reject_reason").isNotNull()).select(key, F.col("reject_reason").alias("rule"), text.alias("detail"))
 
 
 def older_than(published: Column, as_of: Column, hours: int, missing_passes: bool = True) -> Column:
@@ -72,8 +85,12 @@ def blocked_by_list(df: DataFrame, company_key: str, names: DataFrame) -> DataFr
     return df.join(bad, F.col(company_key) == F.col("_bad"), "left_anti")
 
 
-def wrong_language(found: Column, wanted: str, team_signal: Column, home: Column) -> Column:
-    return (found != wanted) & ~team_signal & ~home
+def wrong_language(found: Column, wanted: str, team_signal: Column, home: Column, title: Column | None = None, accents: str = "[àâéèêëîïôùûüçœæäöüß]") -> Column:
+    """Rejects another language, and the wanted one where an accented title is in another; the home country passes."""
+    other = (found != wanted) & ~team_signal
+    if title is not None:
+        other = other | ((found == wanted) & F.lower(title).rlike(accents) & (detect_language(title) != wanted))
+    return other & ~home
 
 
 def role_excluded(title: Column, text: Column, roles: Sequence[str], nouns: Sequence[str]) -> Column:
@@ -83,26 +100,36 @@ def role_excluded(title: Column, text: Column, roles: Sequence[str], nouns: Sequ
     return any_of(low, roles) | (~any_of(low, nouns) & any_of(first, roles))
 
 
-def count_terms(text: Column, terms: Sequence[str]) -> Column:
-    """Whole-word occurrences of terms; boundaries are doubled first, so that neighbours both count."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_.]", "  "), F.lit(" "))
-    out = F.lit(0)
+def term_tokens(text: Column) -> Column:
+    """Lower-case words of a text; terms are counted in it."""
+    return F.split(F.lower(text), "[^a-z0-9_]+")
+
+
+def count_terms(tokens: Column, text: Column, terms: Sequence[str]) -> Column:
+    """Whole-word occurrences of terms: plain words by their tokens, others (like node.js) by a pattern."""
+    plain = [t for t in terms if re.fullmatch("[a-z0-9_]+", t)]
+    out = F.size(F.filter(tokens, lambda w: w.isin(*plain))) if plain else F.lit(0)
     for t in terms:
-        out = out + F.regexp_count(padded, F.lit(f"[^a-z0-9_]{re.escape(t)}[^a-z0-9_]"))
+        if t not in plain:
+            padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_.]", "  "), F.lit(" "))
+            out = out + F.regexp_count(padded, F.lit(f"[^a-z0-9_]{re.escape(t)}[^a-z0-9_]"))
     return out
 
 
-def term_dominance(title: Column, text: Column, terms_a: Sequence[str], terms_b: Sequence[str], phrases: Sequence[str] = ()) -> Column:
-    """Rejects where the wanted terms B are a passing mention beside A.
+def term_dominance(df: DataFrame, title: str, text: str, terms_a: Sequence[str], terms_b: Sequence[str], phrases: Sequence[str] = ()) -> DataFrame:
+    """df with a and b (how often the terms occur) and rejected: where the wanted terms B are a passing mention beside A.
 
     A title with B and three mentions of B pass; a title with A and at most two of B, or
-    three of A and at most one of B, are rejected; so are the given phrases, always.
+    three of A and at most one of B, are rejected; so are the given phrases, always. Texts
+    are split once, in a projection of their own.
     """
     both = F.concat_ws(" ", title, text)
-    a, b = count_terms(both, terms_a), count_terms(both, terms_b)
-    title_a, title_b = count_terms(title, terms_a) > 0, count_terms(title, terms_b) > 0
+    cut = df.withColumns({"_title": term_tokens(F.col(title)), "_both": term_tokens(both)})
+    n = cut.withColumns({"a": count_terms(F.col("_both"), both, terms_a), "b": count_terms(F.col("_both"), both, terms_b), "_a": count_terms(F.col("_title"), F.col(title), terms_a), "_b": count_terms(F.col("_title"), F.col(title), terms_b)})
     stated = any_of(F.lower(both), phrases) if phrases else F.lit(False)
-    return F.when(stated, True).when(title_b & (b >= 3), False).otherwise((title_a & (b <= 2)) | ((a >= 3) & (b <= 1)))
+    a, b = F.col("a"), F.col("b")
+    verdict = F.when(stated, True).when((F.col("_b") > 0) & (b >= 3), False).otherwise(((F.col("_a") > 0) & (b <= 2)) | ((a >= 3) & (b <= 1)))
+    return n.withColumn("rejected", verdict).drop("_title", "_both", "_a", "_b")
 
 
 def distinct_hits(title: Column, text: Column, title_out: Sequence[str], tools: Sequence[str], core: Sequence[str], least: int = 3, most: int = 1) -> Column:
@@ -268,6 +295,13 @@ def adaptive_threshold(text: Column, other_language: Column, english: Sequence[i
     return F.when(other_language, step(others)).otherwise(step(english))
 
 
+def location_break(country: Column, mode: Column, places: Places) -> Column:
+    """What kind of place was rejected: remote overseas, on site or hybrid in Europe, or another."""
+    europe = country.isin(*places.europe)
+    overseas = country.isin(*places.overseas) & F.lit(not places.overseas_allowed)
+    return F.when((mode == "remote") & overseas, "overseas remote").when(europe & (mode == "on-site"), "europe on site").when(europe & (mode == "hybrid"), "europe hybrid").otherwise("other")
+
+
 def dead_page(status: Column, body: Column, phrases: Sequence[str]) -> Column:
     """Whether a landed page says that its posting is gone; other errors don't."""
     return status.isin(404, 410) | ((status == 200) & any_of(F.lower(body), phrases))

@@ -68,3 +68,8 @@ def audit_score(score: Column, veto: Column, default: int = 50) -> Column:
 
 def rounded_hundreds(amount: Column) -> Column:
     return (F.floor(amount / 100 + 0.5) * 100).cast("long")
+
+
+def capped(most: dict[str, int]) -> dict[str, Column]:
+    """Lists of a model's output cut to so many entries each; a missing list is empty."""
+    return {c: F.slice(F.coalesce(F.col(c), F.array().cast("array<string>")), 1, n) for c, n in most.items()}

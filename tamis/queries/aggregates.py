@@ -33,6 +33,18 @@ def _(spark, d):
     return analytics(spark, d).groupBy("source", "country", "status").agg(F.count("*").alias("n"))
 
 
+@query("decided_or_history", f"""with t as (select source, kind, ts from decisions join postings using (posting_id) where kind in ('applied', 'dismissed')),
+h as (select source, kind from decisions join postings using (posting_id) where kind = 'seen'), m as (select * from t where ts >= {AS_OF})
+select 'table' as store, source, kind, count(*) as n from t group by all union all select 'empty table', source, kind, count(*) from (select source, kind from m union all select source, kind from h where not exists (select 1 from m)) group by all""", *V)
+def _(spark, d):
+    """Decided rows from the table of decisions; from the history, which has no country, only where the table is empty."""
+    named = A.decisions(spark, d).join(A.postings(spark, d).select("posting_id", "source"), "posting_id")
+    table = named.where(F.col("kind").isin("applied", "dismissed")).select("source", "kind", "ts")
+    history = named.where("kind = 'seen'").select("source", "kind", "ts")
+    out = [report.primary_else(t, history).groupBy("source", "kind").agg(F.count("*").alias("n")).select(F.lit(s).alias("store"), "source", "kind", "n") for s, t in (("table", table), ("empty table", table.where(F.col("ts") >= A.as_of())))]
+    return out[0].unionByName(out[1])
+
+
 @query("count_by_source", f"with {ROWS} select source, count(*) as n from a group by 1", *V)
 def _(spark, d):
     return report.counts(analytics(spark, d), F.col("source"), "source").orderBy(F.col("n").desc(), "source")
@@ -60,9 +72,7 @@ def _(spark, d):
 
 @query("trend_windows", f"with {ROWS} select days, count(*) filter (ts >= {AS_OF} - to_days(n)) as n from a cross join (values ('7', 7), ('30', 30), ('90', 90), ('all', 100000), ('13', 30)) w(days, n) group by 1", *V)
 def _(spark, d):
-    rows = analytics(spark, d)
-    out = [report.window_rows(rows, A.as_of(), k).agg(F.count("*").alias("n")).select(F.lit(str(k)).alias("days"), "n") for k in (7, 30, 90, "all", 13)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    return report.within_windows(analytics(spark, d), A.as_of(), (7, 30, 90, "all", 13))
 
 
 @query("analytics_bundle", f"""with {ROWS}, w as (select * from a where ts >= {AS_OF} - interval 30 days)

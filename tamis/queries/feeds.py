@@ -51,6 +51,36 @@ def _(spark, d):
     return pages(spark, d).select("page_id", F.explode(html.links(F.col("html"))).alias("link"))
 
 
+@query("html_link_cards", f"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a [^>]*>.*?</a>')) as a, unnest(range(len(regexp_extract_all(html, '(?is)<a [^>]*>.*?</a>')))) as i from pages),
+c as (select page_id, i, regexp_extract(a, '(?is)^<a [^>]*href="([^"]+)"', 1) as url, coalesce(nullif({STRIP.format("regexp_extract(a, '(?is)<a [^>]*>(.*?)</a>', 1)")}, ''), nullif(trim(regexp_extract(a, '(?is)^<a [^>]*title="([^"]*)"', 1)), '')) as title from a)
+select page_id, title, url from c where (contains(url, '/a') or contains(url, '/e') or contains(url, '.example')) and length(title) between 5 and 200 qualify row_number() over (partition by page_id, url order by i) = 1""")
+def _(spark, d):
+    return pages(spark, d).select("page_id", F.explode(html.link_cards(F.col("html"), ("/a", "/e", ".example"))).alias("r")).select("page_id", "r.title", "r.url")
+
+
+@query("html_first_offsite", """with l as (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) as host, list_filter(list_transform(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda u: replace(replace(u, '&#x2F;', '/'), '&amp;', '&')), lambda u: regexp_matches(u, '(?i)^https?://')) as u from pages)
+select page_id, list_filter(u, lambda x: lower(regexp_extract(x, '^[A-Za-z]+://([^/?#:]+)', 1)) <> host)[1] as link from l""")
+def _(spark, d):
+    return pages(spark, d).select("page_id", html.first_offsite(F.col("html"), F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]+)", 1)).alias("link"))
+
+
+@query("rss_items", """with i as (select posting_id, unnest([{'nth': 0, 'title': title, 'region': 'Anywhere', 'at': strftime(published_at, '%Y-%m-%d %H:%M:%S')}, {'nth': 1, 'title': 'Second of ' || company, 'region': country, 'at': '2024-01-31 00:00:00'}]) as r from postings)
+select posting_id, r.title as title, case r.nth when 0 then url else 'https://guid.example/' || posting_id end as url, case r.nth when 0 then 'About <b>it</b>' else '' end as description, r.region as region, r.at as at
+from (select posting_id, case when r.nth = 0 then {'nth': 0, 'title': nullif(trim(r.title), ''), 'region': r.region, 'at': r.at} else r end as r from i) join postings using (posting_id) where r.title is not null""", "postings")
+def _(spark, d):
+    """A feed a posting: an item with all its parts, one with a guid and a category and no date, one whose date can't be read, one without a link."""
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    cdata = lambda value: F.concat(F.lit("<![CDATA["), value, F.lit("]]>"))
+    item = lambda *parts: tag("item", F.concat(*parts))
+    first = item(tag("title", cdata(F.col("title"))), tag("link", F.col("url")), tag("description", cdata(F.lit("About <b>it</b>"))), tag("pubDate", F.date_format("published_at", "E, d MMM yyyy HH:mm:ss 'GMT'")), tag("region", F.lit("Anywhere")))
+    guid = F.concat(F.lit("https://guid.example/"), F.col("posting_id").cast("string"))
+    second = item(tag("title", F.concat(F.lit("Second of "), "company")), tag("guid", guid), tag("category", F.col("country")))
+    broken = item(tag("title", F.lit("x")), tag("link", F.lit("y")), tag("pubDate", F.lit("soon")))
+    rows = A.postings(spark, d).select("posting_id", F.concat(F.lit("<rss>"), first, second, broken, item(tag("title", F.lit("no link"))), F.lit("</rss>")).alias("xml"))
+    got = rows.select("posting_id", F.explode(html.rss_items(F.col("xml"), A.as_of())).alias("r"))
+    return got.select("posting_id", "r.title", "r.url", "r.description", "r.region", F.date_format("r.published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 CARD = f"""select page_id, i as nth, title, link from (select page_id, unnest(range(len(b))) as i, unnest(b) as x from (select page_id, b from (select page_id, regexp_extract_all(html, '(?is)<(?:li)(?:[ \\t\\n][^>]*)?>(.*?)</(?:li)>', 1) as b from pages))),
   lateral (select {STRIP.format('''coalesce(nullif(regexp_extract(x, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1), ''), regexp_extract(x, '(?is)<a [^>]*>(.*?)</a>', 1))''')} as title, regexp_extract(x, 'href="([^"]+)"', 1) as link) where length(title) >= 3 and link <> ''"""
 
@@ -63,19 +93,25 @@ def _(spark, d):
 LD = """concat('<script type="application/ld+json">{"@type":"JobPosting","title":"post ', page_id, '","url":"/p/', page_id, '"}</script>')"""
 
 
-@query("html_cascade", f"""with c as (select page_id, title, link, nth from ({CARD})) select page_id, 'cards' as strategy, title, link as url from c where page_id % 3 <> 0
+@query("html_cascade", f"""with c as (select page_id, title, link, nth from ({CARD})) select page_id, 'cards' as strategy, title, link as url from c where page_id % 3 <> 0 and page_id % 9 not in (4, 7)
+ union all select page_id, case page_id % 9 when 4 then 'state' else 'next_data' end, 'held ' || page_id, '/h/' || page_id from pages where page_id % 9 in (4, 7)
  union all select page_id, 'json_ld', 'post ' || page_id, '/p/' || page_id from pages where page_id % 3 = 0""")
 def _(spark, d):
     ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"post '), F.col("page_id").cast("string"), F.lit('","url":"/p/'), F.col("page_id").cast("string"), F.lit('"}</script>'))
-    rows = pages(spark, d).select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("html", ld)).otherwise(F.regexp_replace("html", "(?i)<(/?)(div|article)", "<$1span")).alias("html"))
+    held = F.to_json(F.array(F.struct(F.concat(F.lit("held "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("/h/"), F.col("page_id").cast("string")).alias("url"))))
+    state = F.concat(F.lit('<script>window.__INITIAL_STATE__ = {"vacatures":{"items":'), held, F.lit("}};</script>"))
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"jobOffers":'), held, F.lit("}}}</script>"))
+    nine = F.col("page_id") % 9
+    rows = pages(spark, d).select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("html", ld)).when(nine == 4, F.concat("html", state)).when(nine == 7, F.concat("html", page)).otherwise(F.regexp_replace("html", "(?i)<(/?)(div|article)", "<$1span")).alias("html"))
     return html.extract_records(rows).select("page_id", "strategy", "title", "url")
 
 
-@query("html_jsonld", "select page_id, 'post ' || page_id as title, '/p/' || page_id as url, 'Firm ' || (page_id % 7) as company from pages")
+@query("html_jsonld", "select page_id, 'post ' || page_id as title, '/p/' || page_id as url, 'Firm ' || (page_id % 7) as company, case page_id % 2 when 0 then 'Town ' else 'Region ' end || (page_id % 5) as location, '2024-01-' || lpad((page_id % 28 + 1)::varchar, 2, '0') as date_posted from pages")
 def _(spark, d):
-    item = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("post "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("url"), F.struct(F.concat(F.lit("Firm "), (F.col("page_id") % 7).cast("string")).alias("name")).alias("hiringOrganization")))
+    i, five = F.col("page_id"), (F.col("page_id") % 5).cast("string")
+    item = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("post "), F.col("page_id").cast("string")).alias("title"), F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("url"), F.struct(F.concat(F.lit("Firm "), (F.col("page_id") % 7).cast("string")).alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.when(i % 2 == 0, F.concat(F.lit("Town "), five)).alias("addressLocality"), F.concat(F.lit("Region "), five).alias("addressRegion")).alias("address")).alias("jobLocation"), F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0")).alias("datePosted")))
     page = F.concat("html", F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">['), item, F.lit("]</script>"))
-    return pages(spark, d).select("page_id", F.explode(html.json_ld(page)).alias("r")).select("page_id", "r.title", "r.url", "r.company")
+    return pages(spark, d).select("page_id", F.explode(html.json_ld(page)).alias("r")).select("page_id", "r.title", "r.url", "r.company", "r.location", "r.date_posted")
 
 
 @query("main_text", f"""with b as (select page_id, list_filter({INNER.format('div|section|article')}, lambda t: length(t) > 200) as blocks, list_filter({INNER.format('p')}, lambda t: length(t) > 80) as ps from pages)
@@ -162,6 +198,17 @@ def _(spark, d):
     return top(spark, d, 20).select(report.markdown_row(*[F.col(c) for c in ("title", "company", "country", "work_mode", "experience_min", "score")]).alias("line"))
 
 
+@query("report_details", f"""with t as (select *, row_number() over (order by {RANK})::int as place from (select *, {SCORE_SQL} as score from postings where {PACK_SQL} is null) qualify place <= 5)
+select place, unnest(range(4))::int as nth, unnest(['## ' || title || ' — ' || company, '- Link: ' || url, '- Match score: ' || score || '%', '- Place: ' || country || ', ' || work_mode]) as line from t""", "postings")
+def _(spark, d):
+    """What the report says of each of the best five."""
+    from pyspark.sql import Window
+
+    best = top(spark, d, 5).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*rank_order())))
+    score = F.concat(F.lit("- Match score: "), F.col("score").cast("string"), F.lit("%"))
+    return report.details(best, "place", [F.concat(F.lit("## "), "title", F.lit(" — "), "company"), F.concat(F.lit("- Link: "), "url"), score, F.concat(F.lit("- Place: "), "country", F.lit(", "), "work_mode")])
+
+
 @query("slim_matches", f"select posting_id, '' as description, substring(title, 1, 20) as title, array_to_string(string_split(title, ' ')[1:3], ' ') as words from postings", "postings")
 def _(spark, d):
     p = A.postings(spark, d).select("posting_id", "description", "title", F.split("title", " ", -1).alias("words"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import dedup, health, ledger, prefer
 from ..plans import adapters as A
+from ..plans import search
 from . import query
 from .rules import PACK_SQL, RANK, SCORE_SQL, rank_order, ranked
 from .scalars import COLLAPSE, NORM_COMPANY, NORM_URL, ROLE_KEY, TITLE_TOKENS
@@ -97,7 +98,9 @@ def _(spark, d):
 SUPPORT = f"""t as (select e.kind, unnest({TITLE_TOKENS}) as word from decisions e join postings p using (posting_id) where kind in ('applied', 'dismissed')),
 s as (select word, count(*) filter (kind = 'applied') as applied, count(*) filter (kind = 'dismissed') as dismissed from t group by 1),
 w as (select word, round((applied - dismissed) / (applied + dismissed)::double * least(applied + dismissed, 4) / 4 * 4, 2) as weight from s where applied + dismissed >= 2),
-g as (select * from w where abs(weight) >= 1)"""
+g as (select * from w where abs(weight) >= 1 and (select count(*) from decisions join postings using (posting_id) where kind in ('applied', 'dismissed')) >= 4)"""
+#: total and delta of every posting in x (posting_id, word), those of postings in p.
+DELTA = """(select posting_id, coalesce(total, 0) as total, floor(coalesce(total, 0) + 0.5)::int as delta from p left join (select posting_id, greatest(-15, least(12, sum(weight))) as total from x join g using (word) group by 1) using (posting_id))"""
 
 
 def decided(spark, d):
@@ -109,6 +112,11 @@ def title_tokens():
     return text.tokenize(F.concat_ws(" ", "title", "company"))
 
 
+def weights(spark, d):
+    e = decided(spark, d)
+    return prefer.fit(prefer.word_support(e, title_tokens()), e)
+
+
 @query("word_support", f"with {SUPPORT} select word, applied, dismissed from s", "postings", "decisions")
 def _(spark, d):
     return prefer.word_support(decided(spark, d), title_tokens())
@@ -116,22 +124,28 @@ def _(spark, d):
 
 @query("preference_weights", f"with {SUPPORT} select word, weight from g", "postings", "decisions")
 def _(spark, d):
-    return prefer.fit(prefer.word_support(decided(spark, d), title_tokens()))
+    return weights(spark, d)
 
 
-@query("preference_delta", f"""with {SUPPORT}, x as (select posting_id, unnest({TITLE_TOKENS}) as word from postings)
-select posting_id, floor(greatest(-15, least(12, sum(weight))) + 0.5)::int as delta from x join g using (word) group by 1""", "postings", "decisions")
+@query("preference_delta", f"""with {SUPPORT}, x as (select posting_id, unnest({TITLE_TOKENS}) as word from postings), p as (select posting_id from postings)
+select posting_id, delta from {DELTA}""", "postings", "decisions")
 def _(spark, d):
-    weights = prefer.fit(prefer.word_support(decided(spark, d), title_tokens()))
-    return prefer.apply(A.postings(spark, d), "posting_id", title_tokens(), weights).select("posting_id", "delta")
+    return prefer.apply(A.postings(spark, d), "posting_id", title_tokens(), weights(spark, d)).select("posting_id", "delta")
+
+
+@query("preference_inactive", "select posting_id, 0 as delta from postings", "postings")
+def _(spark, d):
+    """Three decisions say nothing yet."""
+    few = decided(spark, d).orderBy("event_id").limit(3)
+    words = prefer.fit(prefer.word_support(few, title_tokens()), few, least=1, smallest=0.0)
+    return prefer.apply(A.postings(spark, d), "posting_id", title_tokens(), words).select("posting_id", "delta")
 
 
 @query("top_words", f"""with {SUPPORT}, x as (select posting_id, unnest({TITLE_TOKENS}) as word from postings), m as (select posting_id, word, weight from x join g using (word)),
 tot as (select posting_id, sum(weight) as total, (list(word order by -weight, word) filter (weight > 0))[1:2] as liked, (list(word order by weight, word) filter (weight < 0))[1:2] as disliked from m group by 1)
 select posting_id, case when total >= 4 then array_to_string(liked, ',') else '' end as liked, case when total <= -4 then coalesce(array_to_string(disliked, ','), '') else '' end as disliked from tot where abs(total) >= 4""", "postings", "decisions")
 def _(spark, d):
-    weights = prefer.fit(prefer.word_support(decided(spark, d), title_tokens()))
-    got = prefer.apply(A.postings(spark, d), "posting_id", title_tokens(), weights).where("abs(total) >= 4")
+    got = prefer.apply(A.postings(spark, d), "posting_id", title_tokens(), weights(spark, d)).where("abs(total) >= 4")
     return got.select("posting_id", F.when(F.col("total") >= 4, F.array_join("liked", ",")).otherwise("").alias("liked"), F.when(F.col("total") <= -4, F.array_join("disliked", ",")).otherwise("").alias("disliked"))
 
 
@@ -143,10 +157,17 @@ def _(spark, d):
     return dedup.keep_first(ranked(spark, d), [text.normalize_company(F.col("company")), text.base_title(F.col("title"))], rank_order()).select("posting_id")
 
 
-@query("dedup_two_key")
+#: The plain loop over postings in their order: one is kept if both its keys are new.
+TWO_KEY = f"""{U}, q as materialized (select *, lower(trim(title)) || '|' || lower(trim(company)) || '|' || source as identity, row_number() over (order by ingest_ordinal) as n from k),
+lp as (select 0::bigint as n, []::varchar[] as urls, []::varchar[] as names, []::bigint[] as kept
+  union all select q.n, case when ok then list_append(urls, url_norm) else urls end, case when ok then list_append(names, identity) else names end, case when ok then list_append(kept, posting_id) else kept end
+  from (select q.*, lp.urls, lp.names, lp.kept, not list_contains(lp.urls, q.url_norm) and not list_contains(lp.names, q.identity) as ok from lp join q on q.n = lp.n + 1) q),
+two as (select unnest(kept) as posting_id from lp where n = (select max(n) from lp))"""
+
+
+@query("dedup_two_key", f"with recursive {TWO_KEY} select posting_id, url_norm from two join k using (posting_id)", "postings")
 def _(spark, d):
-    p = norm(spark, d).withColumn("identity", F.concat_ws("\u0001", F.lower("title"), "company_key", "source"))
-    return dedup.two_key_dedup(p, "url_norm", "identity", "ingest_ordinal").select("posting_id", "url_norm")
+    return dedup.two_key_dedup(search.keyed(A.postings(spark, d)), "url_norm", "identity", "ingest_ordinal").select("posting_id", "url_norm")
 
 
 @query("dedup_within_feed", "select source || '|' || url as key, min(ingest_ordinal) as ingest_ordinal, arg_max(title, ingest_ordinal) as title from postings group by 1", "postings")

@@ -33,24 +33,26 @@ rule_query("title_exclusion", "regexp_matches(lower(title), '(^|[^a-z0-9_])(ein|
 rule_query("role_exclusion", f"{sql_any('lower(title)', L.ROLE_OUT)} or (not {sql_any('lower(title)', L.ROLE_NOUNS)} and {sql_any('lower(split_part(description, chr(10), 1))', L.ROLE_OUT)})", lambda: R.role_excluded(F.col("title"), F.col("description"), L.ROLE_OUT, L.ROLE_NOUNS))
 
 
-@query("language_fit", f"""select p.posting_id, {LANGUAGE} <> 'en' and not {sql_any('lower(p.description)', L.SPONSOR)} and p.country <> '{L.HOME_COUNTRY}' as rejected
-from postings p join {language_sql('postings', 'description', 'posting_id')} w using (posting_id)""", "postings")
+@query("language_fit", f"""with t as (select posting_id, {LANGUAGE} as lang from {language_sql('postings', 'title', 'posting_id')} w),
+x as (select posting_id, {LANGUAGE} as lang from {language_sql('postings', 'description', 'posting_id')} w)
+select p.posting_id, ((x.lang <> 'en' and not {sql_any('lower(p.description)', L.SPONSOR)}) or (x.lang = 'en' and regexp_matches(lower(p.title), '[àâéèêëîïôùûüçœæäöüß]') and t.lang <> 'en')) and p.country <> '{L.HOME_COUNTRY}' as rejected
+from postings p join x using (posting_id) join t using (posting_id)""", "postings")
 def _(spark, d):
-    found = R.wrong_language(infer.detect_language(F.col("description")), "en", text.any_of(F.lower("description"), L.SPONSOR), F.col("country") == L.HOME_COUNTRY)
+    found = R.wrong_language(infer.detect_language(F.col("description")), "en", text.any_of(F.lower("description"), L.SPONSOR), F.col("country") == L.HOME_COUNTRY, F.col("title"))
     return A.postings(spark, d).select("posting_id", found.alias("rejected"))
 
 
 def count_sql(col: str, terms) -> str:
-    padded = f"' ' || regexp_replace(lower({col}), '[^a-z0-9_.]', '  ', 'g') || ' '"
-    return "(" + " + ".join(f"len(regexp_extract_all({padded}, '[^a-z0-9_]{t}[^a-z0-9_]'))" for t in terms) + ")"
+    names = ", ".join(f"'{t}'" for t in terms)
+    return f"len(list_filter(regexp_split_to_array(lower({col}), '[^a-z0-9_]+'), lambda w: w in ({names})))"
 
 
 @query("term_dominance", f"""with c as (select posting_id, {count_sql("concat_ws(' ', title, description)", L.STACK_A)} as a, {count_sql("concat_ws(' ', title, description)", L.STACK_B)} as b,
   {count_sql('title', L.STACK_A)} > 0 as ta, {count_sql('title', L.STACK_B)} > 0 as tb, {sql_any(FULL, L.CLAUSES)} as stated from postings)
 select posting_id, a::int as a, b::int as b, case when stated then true when tb and b >= 3 then false else (ta and b <= 2) or (a >= 3 and b <= 1) end as rejected from c""", "postings")
 def _(spark, d):
-    both = full()
-    return A.postings(spark, d).select("posting_id", R.count_terms(both, L.STACK_A).alias("a"), R.count_terms(both, L.STACK_B).alias("b"), R.term_dominance(F.col("title"), F.col("description"), L.STACK_A, L.STACK_B, L.CLAUSES).alias("rejected"))
+    p = A.postings(spark, d).select("posting_id", "title", "description")
+    return R.term_dominance(p, "title", "description", L.STACK_A, L.STACK_B, L.CLAUSES).select("posting_id", "a", "b", "rejected")
 
 
 rule_query("distinct_hits_gate", f"{sql_any('lower(title)', L.UNRELATED)} or ({sql_hits(FULL, L.TOOLS)} >= 3 and {sql_hits(FULL, L.CORE)} <= 1)", lambda: R.distinct_hits(F.col("title"), F.col("description"), L.UNRELATED, L.TOOLS, L.CORE))
@@ -82,19 +84,25 @@ def _(spark, d):
 PLACES = R.Places(preferred=(L.HOME_COUNTRY,), excluded=L.EXCLUDED_COUNTRIES, europe=L.EUROPE, relocate=("ROMANIA",), overseas=L.OVERSEAS, overseas_allowed=True, needs_support=("UNITED KINGDOM",), tiers=((L.HOME_COUNTRY,), L.TIER2, L.TIER3))
 
 
-@query("location_score", """with c as (select n_nationkey as k, n_name as nation from nation),
-p as (select posting_id, work_mode as m, offers_relocation as s, case when posting_id % 13 = 0 then null else case posting_id % 9 when 0 then 'FRANCE' when 1 then 'GERMANY' when 2 then 'ROMANIA' when 3 then 'RUSSIA' when 4 then 'UNITED KINGDOM' when 5 then 'UNITED STATES' when 6 then 'CHINA' when 7 then 'CANADA' else country end end as c,
+PLACED_SQL = """p as (select posting_id, work_mode as m, offers_relocation as s, case when posting_id % 13 = 0 then null else case posting_id % 9 when 0 then 'FRANCE' when 1 then 'GERMANY' when 2 then 'ROMANIA' when 3 then 'RUSSIA' when 4 then 'UNITED KINGDOM' when 5 then 'UNITED STATES' when 6 then 'CHINA' when 7 then 'CANADA' else country end end as c,
   case posting_id % 4 when 0 then 'open' when 1 then 'restricted' else 'unknown' end as scope from postings),
 v as (select *, case when m = 'remote' and scope = 'restricted' then 0 when m = 'remote' and scope = 'open' then 95 when m = 'remote' then 85 when c is null and m = 'on-site' then 0 when c is null then 70
   when c in ('CHINA', 'RUSSIA') then 0 when c = 'FRANCE' then 100 when c = 'UNITED KINGDOM' and not s then 0 when c = 'ROMANIA' and m = 'on-site' then case when s then 75 else 65 end when c in ('GERMANY', 'UNITED KINGDOM') and m = 'on-site' and s then 70
-  when c = 'ROMANIA' then case when s then 80 else 70 end when c in ('GERMANY', 'UNITED KINGDOM') and s then 80 when c in ('GERMANY', 'UNITED KINGDOM') then 0 when c in ('UNITED STATES', 'CANADA') then case when s then 70 else 50 end else 0 end as base from p)
-select posting_id, base > 0 as accept, case when base > 0 then least(100, base + case when c = 'FRANCE' then 15 when c in ('GERMANY', 'ROMANIA') then 10 when c = 'UNITED KINGDOM' then 5 else 0 end) else 0 end as score from v""", "postings")
-def _(spark, d):
+  when c = 'ROMANIA' then case when s then 80 else 70 end when c in ('GERMANY', 'UNITED KINGDOM') and s then 80 when c in ('GERMANY', 'UNITED KINGDOM') then 0 when c in ('UNITED STATES', 'CANADA') then case when s then 70 else 50 end else 0 end as base from p)"""
+
+
+def placed(postings):
+    """postings with c (a country of the profile's, or none) and scope."""
     i = F.col("posting_id")
     names = F.element_at(F.array(*[F.lit(x) for x in ("FRANCE", "GERMANY", "ROMANIA", "RUSSIA", "UNITED KINGDOM", "UNITED STATES", "CHINA", "CANADA", "")]), (i % 9 + 1).cast("int"))
     country = F.when(i % 13 != 0, F.when(i % 9 == 8, F.col("country")).otherwise(names))
-    scope = F.when(i % 4 == 0, "open").when(i % 4 == 1, "restricted").otherwise("unknown")
-    rows = A.postings(spark, d).select("posting_id", "work_mode", "offers_relocation", country.alias("c"), scope.alias("scope"))
+    return postings.withColumns({"c": country, "scope": F.when(i % 4 == 0, "open").when(i % 4 == 1, "restricted").otherwise("unknown")})
+
+
+@query("location_score", f"""with {PLACED_SQL}
+select posting_id, base > 0 as accept, case when base > 0 then least(100, base + case when c = 'FRANCE' then 15 when c in ('GERMANY', 'ROMANIA') then 10 when c = 'UNITED KINGDOM' then 5 else 0 end) else 0 end as score from v""", "postings")
+def _(spark, d):
+    rows = placed(A.postings(spark, d)).select("posting_id", "work_mode", "offers_relocation", "c", "scope")
     return rows.select("posting_id", R.location_score(F.col("c"), F.col("work_mode"), F.col("offers_relocation"), F.col("scope"), PLACES).alias("l")).select("posting_id", "l.accept", "l.score")
 
 
@@ -162,15 +170,29 @@ def pack() -> R.RulePack:
     )
 
 
-STAGES = "(values (0, 'blocked_company'), (1, 'title'), (2, 'clause'), (3, 'keywords'), (4, 'experience'), (5, 'stale')) s(stage, reason)"
+REST_SQL = PACK_SQL[: PACK_SQL.rindex(",")] + ")"  # without the last rule, freshness
+FUNNEL_SQL = REST_SQL[:-1] + ", case when not v.base > 0 then 'location' end)"
+STAGES = "(values (0, 'blocked_company'), (1, 'title'), (2, 'clause'), (3, 'keywords'), (4, 'experience'), (5, 'location')) s(stage, reason)"
+
+
+@query("filter_funnel", f"""with {PLACED_SQL},
+f as (select {FUNNEL_SQL} as reason, case when c in ('FRANCE', 'GERMANY', 'ROMANIA', 'RUSSIA', 'UNITED KINGDOM') and work_mode = 'on-site' then 'europe on site' when c in ('FRANCE', 'GERMANY', 'ROMANIA', 'RUSSIA', 'UNITED KINGDOM') and work_mode = 'hybrid' then 'europe hybrid' else 'other' end as place
+  from postings join v using (posting_id) where published_at >= timestamp '2024-01-31 00:00:00' - interval 200 hours),
+r as (select reason, case when reason = 'location' then place end as detail, count(*) as n from f group by all)
+select stage, s.reason, detail, coalesce(n, 0)::bigint as n, coalesce(round(n * 100.0::double / (select count(*) from f), 2), 0) as percent from {STAGES} left join r on r.reason = s.reason""", "postings")
+def _(spark, d):
+    """Of the fresh postings, those that each rule rejects first; rejected places by their kind."""
+    where = R.location_score(F.col("c"), F.col("work_mode"), F.col("offers_relocation"), F.col("scope"), PLACES)
+    rules = R.RulePack((*pack().rules[:-1], ("location", ~where["accept"])))
+    fresh = placed(A.postings(spark, d)).where(~R.older_than(F.col("published_at"), A.as_of(), 200))
+    return rules.funnel(fresh, {"location": R.location_break(F.col("c"), F.col("work_mode"), PLACES)})
 
 
-@query("filter_funnel", f"""with r as (select {PACK_SQL} as reason, count(*) as n from postings group by 1)
-select stage, s.reason, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) * 100.0::double / (select count(*) from postings), 2) as percent from {STAGES} left join r on r.reason = s.reason""", "postings")
+@query("rule_purge_rows", f"""with r as (select *, {PACK_SQL} as rule from postings)
+select posting_id, rule, case rule when 'blocked_company' then company when 'title' then title when 'experience' then experience_min || ' years required' when 'stale' then 'found ' || strftime(published_at, '%Y-%m-%d') else '' end as detail from r where rule is not null""", "postings")
 def _(spark, d):
-    p = A.postings(spark, d)
-    total = A.table(spark, d, "documents").count()
-    return pack().funnel(p).withColumn("percent", F.round(F.col("n") * 100.0 / max(total, 1), 2))
+    told = {"blocked_company": F.col("company"), "title": F.col("title"), "experience": F.concat(F.col("experience_min").cast("string"), F.lit(" years required")), "stale": F.concat(F.lit("found "), F.date_format("published_at", "yyyy-MM-dd"))}
+    return pack().purge(A.postings(spark, d), "posting_id", told)
 
 
 @query("rule_purge", f"select reason as rule, count(*) as n, min(posting_id) as first_id, max(posting_id) as last_id from (select posting_id, {PACK_SQL} as reason from postings) where reason is not null group by 1", "postings")
@@ -267,14 +289,16 @@ def _(spark, d):
     return A.model_scores(spark, d).select("posting_id", P.audit_score(raw, F.col("model_veto")).alias("score"))
 
 
-@query("model_post_rules", f"""with {MONTHLY}, w as (select posting_id, {WORDS.format('trim(description)')} as w from postings)
+@query("model_post_rules", f"""with {MONTHLY}, w as (select posting_id, {WORDS.format('trim(description)')} as w, array_to_string(string_split(title, ' ')[:3], ' ') as issues, array_to_string(string_split(description, ' ')[:8], ' ') as missing from postings)
 select s.posting_id, fraud_score >= 72 as suspicious, coalesce(model_score, 50) >= case when w < 120 then 45 when w < 350 then 50 else 55 end as letter, coalesce(monthly_eur < 3299, false) as below_permit,
-  (floor(coalesce(salary_yearly_min, salary_min) / 100 + 0.5) * 100)::bigint as rounded from model_scores s join w using (posting_id) join e using (posting_id)""", "postings", "model_scores", "rates")
+  (floor(coalesce(salary_yearly_min, salary_min) / 100 + 0.5) * 100)::bigint as rounded, issues, missing from model_scores s join w using (posting_id) join e using (posting_id)""", "postings", "model_scores", "rates")
 def _(spark, d):
     n = text.word_count(F.trim("description"))
-    p = with_monthly(spark, d).select("posting_id", n.alias("w"), "monthly_eur", F.coalesce("salary_yearly_min", "salary_min").alias("amount"))
+    said = P.capped({"issues": 3, "missing": 8})  # longer lists of a model's are cut
+    p = with_monthly(spark, d).withColumns({"issues": F.split("title", " "), "missing": F.split("description", " ")}).withColumns(said)
+    p = p.select("posting_id", n.alias("w"), "monthly_eur", F.coalesce("salary_yearly_min", "salary_min").alias("amount"), *[F.array_join(c, " ").alias(c) for c in said])
     least = F.when(F.col("w") < 120, 45).when(F.col("w") < 350, 50).otherwise(55)
-    return A.model_scores(spark, d).join(p, "posting_id").select("posting_id", (F.col("fraud_score") >= 72).alias("suspicious"), (F.coalesce("model_score", F.lit(50)) >= least).alias("letter"), R.below_salary(F.col("monthly_eur"), 3299).alias("below_permit"), P.rounded_hundreds(F.col("amount")).alias("rounded"))
+    return A.model_scores(spark, d).join(p, "posting_id").select("posting_id", (F.col("fraud_score") >= 72).alias("suspicious"), (F.coalesce("model_score", F.lit(50)) >= least).alias("letter"), R.below_salary(F.col("monthly_eur"), 3299).alias("below_permit"), P.rounded_hundreds(F.col("amount")).alias("rounded"), "issues", "missing")
 
 
 RANK = "offers_relocation desc, score desc, source_priority desc, published_at desc, posting_id"

@@ -272,7 +272,10 @@ def _(spark, d):
 @query("time_canon", """select event_id, strftime(case event_id % 5 when 4 then timestamp '2024-01-31 00:00:00' else date_trunc('second', ts) end, '%Y-%m-%d %H:%M:%S') as at from events""")
 def _(spark, d):
     i, ts = F.col("event_id") % 5, F.col("ts").cast("timestamp")
-    e = A.table(spark, d, "events").select("event_id", F.when(i == 0, F.unix_timestamp(ts)).alias("s"), F.when(i == 1, F.unix_millis(ts)).alias("ms"), F.when(i == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i == 3, F.date_format(ts, "E, dd MMM yyyy HH:mm:ss Z")).when(i == 4, "no date").alias("t"))
+    k, day = F.col("event_id") % 4, F.when(F.col("event_id") % 3 == 0, "E, ").otherwise("")
+    east = F.date_format(ts - F.expr("interval 5 hours"), "d MMM yyyy HH:mm:ss")
+    mail = F.when(k == 0, F.date_format(ts, "E, dd MMM yyyy HH:mm:ss Z")).when(k == 1, F.date_format(ts, "E, d MMM yyyy HH:mm:ss 'GMT'")).when(k == 2, F.concat(F.when(day != "", "Tue, ").otherwise(""), east, F.lit(" EST"))).otherwise(F.date_format(ts, "d MMM yyyy HH:mm:ss 'utc'"))
+    e = A.table(spark, d, "events").select("event_id", F.when(i == 0, F.unix_timestamp(ts)).alias("s"), F.when(i == 1, F.unix_millis(ts)).alias("ms"), F.when(i == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i == 3, mail).when(i == 4, "no date").alias("t"))
     at = infer.time_canon(F.col("s"), F.col("ms"), F.col("t"), A.as_of())
     return e.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
 

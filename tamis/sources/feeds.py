@@ -59,7 +59,7 @@ def select_feeds(rows: DataFrame, feeds: DataFrame, only: Sequence[str] = (), ex
         chosen = chosen.where(F.col("source").isin(*only))
     if exclude:
         chosen = chosen.where(~F.col("source").isin(*exclude))
-    return rows.join(F.broadcast(chosen), "source")
+    return rows.join(chosen, "source")
 
 
 def enrich(listing: DataFrame, detail: DataFrame, key: str, text: str = "description") -> DataFrame:

@@ -73,11 +73,13 @@ def test_followups(spark):
 
 def test_preferences(spark):
     rows = [("applied", ["go", "db"]), ("applied", ["go"]), ("dismissed", ["php", "db"]), ("dismissed", ["php"]), ("applied", ["once"])]
-    weights = prefer.fit(prefer.word_support(spark.createDataFrame(rows, "kind string, w array<string>"), F.col("w")))
+    decided = spark.createDataFrame(rows, "kind string, w array<string>")
+    weights = prefer.fit(prefer.word_support(decided, F.col("w")), decided)
+    assert prefer.fit(prefer.word_support(decided.limit(3), F.col("w")), decided.limit(3), least=1).count() == 0
     assert {r["word"]: r["weight"] for r in weights.collect()} == {"go": 2.0, "php": -2.0}
     posts = spark.createDataFrame([(1, ["go", "x"]), (2, ["php", "go", "php2"]), (3, ["none"])], "id int, w array<string>")
     got = {r["id"]: (r["delta"], r["liked"], r["disliked"]) for r in prefer.apply(posts, "id", F.col("w"), weights).collect()}
-    assert got == {1: (2, ["go"], []), 2: (0, ["go"], ["php"])}
+    assert got == {1: (2, ["go"], []), 2: (0, ["go"], ["php"]), 3: (0, [], [])}
 
 
 def test_streaks(spark):

@@ -1,6 +1,8 @@
 """Every registered query over the smallest tables, those with SQL against DuckDB."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -47,12 +49,12 @@ def test_entry(spark):
 
 
 def test_two_key_dedup_equals_the_plain_loop(spark, sf_dir):
-    from tamis.queries.ledgers import norm
+    from tamis.plans import adapters, search
 
-    rows = norm(spark, sf_dir).orderBy("ingest_ordinal").collect()
+    rows = search.keyed(adapters.postings(spark, sf_dir)).orderBy("ingest_ordinal").collect()
     urls, names, kept = set(), set(), set()
     for r in rows:
-        name = (r["title"].lower(), r["company_key"], r["source"])
+        name = (r["title"].lower().strip(), r["company"].lower().strip(), r["source"])
         if r["url_norm"] not in urls and name not in names:
             urls.add(r["url_norm"])
             names.add(name)
@@ -60,6 +62,38 @@ def test_two_key_dedup_equals_the_plain_loop(spark, sf_dir):
     assert {r["posting_id"] for r in QUERIES["dedup_two_key"](spark, sf_dir).collect()} == kept
 
 
+def test_engine_queries_without_what_the_other_package_needs():
+    """With public_tokenizers out of reach, the engine's queries are still there."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 138 and out[1:] == ["False", "True"]
+
+
+def test_stages_need_a_shared_folder(monkeypatch):
+    from tamis.operators import stages
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "spark://somewhere:7077", "app"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stages.shared_path(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    assert "app/x-" in stages.shared_path(Session, "x")
+
+
+def test_written_and_discarded(spark):
+    from tamis.operators.stages import discard, written
+
+    out = written(spark.range(5), "some")
+    assert out.count() == 5 and Path(out.written_to).is_dir()
+    discard(out)
+    assert not Path(out.written_to).exists()
+
+
 def test_settings(spark, tmp_path):
     from tamis.plans.settings import load_settings
 

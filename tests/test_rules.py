@@ -38,7 +38,10 @@ def test_pack_gives_one_reason_and_the_funnel_adds_up(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 50), (4, 500)], "id int, v int")
     pack = rules.RulePack((("large", F.col("v") > 100), ("medium", F.col("v") > 10)))
     assert {(r["id"], r["reject_reason"]) for r in pack.apply(df).collect()} == {(1, None), (2, None), (3, "medium"), (4, "large")}
-    assert [(r["reason"], r["n"]) for r in pack.funnel(df).orderBy("stage").collect()] == [("large", 1), ("medium", 1)]
+    assert [(r["reason"], r["detail"], r["n"], r["percent"]) for r in pack.funnel(df).orderBy("stage").collect()] == [("large", None, 1, 25.0), ("medium", None, 1, 25.0)]
+    broken = pack.funnel(df.unionByName(spark.createDataFrame([(5, 11)], "id int, v int")), {"medium": F.when(F.col("v") > 20, "over 20").otherwise("to 20")})
+    assert [(r["reason"], r["detail"], r["n"], r["percent"]) for r in broken.orderBy("stage", "detail").collect()] == [("large", None, 1, 20.0), ("medium", "over 20", 1, 20.0), ("medium", "to 20", 1, 20.0)]
+    assert [tuple(r) for r in pack.purge(df, "id", {"large": F.col("v")}).orderBy("id").collect()] == [(3, "medium", ""), (4, "large", "500")]
     assert pack.passed(df).count() == 2
     assert pack.funnel(df.limit(0)).count() == 2
 
@@ -51,8 +54,9 @@ def test_blocklist_as_table(spark):
 
 
 def test_neighbouring_terms_both_count(spark):
-    df = spark.createDataFrame([("vue vue, angular/vue vueé",)], "x string")
-    assert df.select(rules.count_terms(F.col("x"), ("vue",))).first()[0] == 4
+    df = spark.createDataFrame([("vue vue, angular/vue vueé node.js.node.js, node js",)], "x string")
+    count = lambda *terms: df.select(rules.count_terms(rules.term_tokens(F.col("x")), F.col("x"), terms)).first()[0]
+    assert count("vue") == 4 and count("node.js") == 1 and count("vue", "angular") == 5
 
 
 @pytest.mark.parametrize(
@@ -61,7 +65,17 @@ def test_neighbouring_terms_both_count(spark):
 )
 def test_dominance(spark, title, text, rejected):
     df = spark.createDataFrame([(title, text)], "a string, b string")
-    assert df.select(rules.term_dominance(F.col("a"), F.col("b"), ("angular", "rxjs"), ("node", "nestjs"), ("expert in angular",))).first()[0] is rejected
+    got = rules.term_dominance(df.toDF("title", "text"), "title", "text", ("angular", "rxjs"), ("node", "nestjs"), ("expert in angular",)).first()
+    assert got["rejected"] is rejected
+
+
+@pytest.mark.parametrize(
+    ("found", "title", "home", "rejected"),
+    [("en", "Software engineer", False, False), ("en", "Développeur confirmé à Orléans, été", False, True), ("en", "Développeur confirmé à Orléans, été", True, False), ("de", "Plain title", False, True), ("en", "Café manager wanted for our very large team of happy people", False, True)],
+)
+def test_accented_titles_are_asked_again(spark, found, title, home, rejected):
+    df = spark.createDataFrame([(found, title, home)], "f string, t string, h boolean")
+    assert df.select(rules.wrong_language(F.col("f"), "en", F.lit(False), F.col("h"), F.col("t"))).first()[0] is rejected
 
 
 @pytest.mark.parametrize(

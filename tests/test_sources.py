@@ -41,8 +41,24 @@ def test_cascade(spark):
 
 
 def test_rss(spark):
-    xml = "<rss><item><title><![CDATA[Acme: Engineer]]></title><link>https://a.example</link></item><item><title>B</title><guid>https://b.example</guid></item><item><title>C</title></item></rss>"
-    assert [tuple(r) for r in one(spark, xml, html.rss_items(F.col("html")))] == [("Acme: Engineer", "https://a.example"), ("B", "https://b.example")]
+    import datetime as dt
+
+    items = [
+        "<title><![CDATA[Acme: Engineer]]></title><link>https://a.example</link><pubDate>Tue, 10 Jun 2003 04:00:00 GMT</pubDate><description><![CDATA[<b>x</b>]]></description><region>Europe</region>",
+        "<title>B</title><guid isPermaLink='x'>https://b.example</guid><category>Anywhere</category>",
+        "<title>C</title>",
+        "<title>D</title><link>d</link><pubDate>one day</pubDate>",
+    ]
+    xml = "<rss>" + "".join(f"<item>{i}</item>" for i in items) + "</rss>"
+    got = [tuple(r) for r in one(spark, xml, html.rss_items(F.col("html"), F.lit("2024-01-01").cast("timestamp")))]
+    assert got == [("Acme: Engineer", "https://a.example", "<b>x</b>", "Europe", dt.datetime(2003, 6, 10, 4)), ("B", "https://b.example", "", "Anywhere", dt.datetime(2024, 1, 1))]
+
+
+def test_links(spark):
+    page = '<a class="x" href="/job/1"><b>First</b> job</a><a href="/job/2" title="By its attribute"></a><a href="/job/1">Again here</a><a href="/other/3">Another page</a><a href="/job/4">no</a><a href="https://me.example/x">Mine</a><a href="https://away.example/y">Away</a>'
+    assert [tuple(r) for r in one(spark, page, html.link_cards(F.col("html"), ("/job/", "/offre/")))] == [("First job", "/job/1"), ("By its attribute", "/job/2")]
+    assert one(spark, page, html.first_offsite(F.col("html"), F.lit("ME.example"))) == "https://away.example/y"
+    assert one(spark, "<p>none</p>", html.first_offsite(F.col("html"), F.lit("a"))) is None
 
 
 def test_main_text(spark):

@@ -66,11 +66,12 @@ def test_language(spark):
 
 
 def test_places_are_whole_words(spark):
-    dim = spark.createDataFrame([("nice", "FR", 0), ("roma", "IT", 1), ("munich", "DE", 2)], "name string, code string, ord int")
-    df = spark.createDataFrame([("Venice, Italy",), ("Romania",), ("Nice",), ("Greater Munich (hybrid)",), ("Europe",), (None,), ("Nice",)], "label string")
+    dim = spark.createDataFrame([("nice", "FR", 0), ("roma", "IT", 1), ("munich", "DE", 2), ("Los-Angeles", "US", 3)], "name string, code string, ord int")
+    df = spark.createDataFrame([("Venice, Italy",), ("Romania",), ("Nice",), ("Greater Munich (hybrid)",), ("Europe",), (None,), ("Nice",), ("in los angeles, nice",)], "label string")
     got = {(r["label"], r["country_code"]) for r in infer.infer_country(df, "label", dim, home="FR").collect()}
-    assert got == {("Venice, Italy", None), ("Romania", None), ("Nice", "FR"), ("Greater Munich (hybrid)", "DE"), ("Europe", "FR"), (None, None)}
-    assert infer.infer_country(df, "label", dim).count() == 7
+    assert got == {("Venice, Italy", None), ("Romania", None), ("Nice", "FR"), ("Greater Munich (hybrid)", "DE"), ("Europe", "FR"), (None, None), ("in los angeles, nice", "FR")}
+    assert infer.infer_country(df, "label", dim).count() == 8
+    assert infer.infer_country(df, "label", dim.limit(0)).where("country_code is not null").count() == 0
 
 
 def test_salaries(spark):
@@ -85,9 +86,9 @@ def test_salaries(spark):
 
 def test_times(spark):
     at = dt.datetime(2024, 1, 2, 3, 4, 5)
-    df = spark.createDataFrame([(1704164645, None, None), (None, 1704164645000, None), (None, None, "2024-01-02T03:04:05Z"), (None, None, "Tue, 02 Jan 2024 03:04:05 +0000"), (None, None, "soon")], "s long, ms long, t string")
+    df = spark.createDataFrame([(1704164645, None, None), (None, 1704164645000, None), (None, None, "2024-01-02T03:04:05Z"), (None, None, "Tue, 02 Jan 2024 03:04:05 +0000"), (None, None, "Tue, 2 Jan 2024 03:04:05 GMT"), (None, None, "2 Jan 2024 03:04:05 UT"), (None, None, "Mon, 01 Jan 2024 22:04:05 est"), (None, None, "soon")], "s long, ms long, t string")
     got = [r[0] for r in df.select(F.date_format(infer.time_canon(F.col("s"), F.col("ms"), F.col("t")), "yyyy-MM-dd HH:mm:ss")).collect()]
-    assert got == [str(at)] * 4 + [None]
+    assert got == [str(at)] * 7 + [None]
 
 
 def test_work_mode(spark):
