@@ -100,19 +100,14 @@ def role_excluded(title: Column, text: Column, roles: Sequence[str], nouns: Sequ
     return any_of(low, roles) | (~any_of(low, nouns) & any_of(first, roles))
 
 
-def term_tokens(text: Column) -> Column:
-    """Lower-case words of a text; terms are counted in it."""
-    return F.split(F.lower(text), "[^a-z0-9_]+")
-
-
-def count_terms(tokens: Column, text: Column, terms: Sequence[str]) -> Column:
-    """Whole-word occurrences of terms: plain words by their tokens, others (like node.js) by a pattern."""
-    plain = [t for t in terms if re.fullmatch("[a-z0-9_]+", t)]
-    out = F.size(F.filter(tokens, lambda w: w.isin(*plain))) if plain else F.lit(0)
+def count_terms(text: Column, terms: Sequence[str]) -> Column:
+    """Whole-word occurrences of terms: plain words in one pass over the text, others (like node.js) in one each."""
+    low, plain = F.lower(text), [t for t in terms if re.fullmatch("[a-z0-9_]+", t)]
+    whole = lambda names: F.regexp_count(low, F.lit(f"(?<![a-z0-9_])(?:{'|'.join(map(re.escape, names))})(?![a-z0-9_])"))
+    out = whole(plain) if plain else F.lit(0)
     for t in terms:
         if t not in plain:
-            padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_.]", "  "), F.lit(" "))
-            out = out + F.regexp_count(padded, F.lit(f"[^a-z0-9_]{re.escape(t)}[^a-z0-9_]"))
+            out = out + whole([t])
     return out
 
 
@@ -120,16 +115,15 @@ def term_dominance(df: DataFrame, title: str, text: str, terms_a: Sequence[str],
     """df with a and b (how often the terms occur) and rejected: where the wanted terms B are a passing mention beside A.
 
     A title with B and three mentions of B pass; a title with A and at most two of B, or
-    three of A and at most one of B, are rejected; so are the given phrases, always. Texts
-    are split once, in a projection of their own.
+    three of A and at most one of B, are rejected; so are the given phrases, always. Terms
+    are counted in a projection of their own, so each text is read once a list.
     """
     both = F.concat_ws(" ", title, text)
-    cut = df.withColumns({"_title": term_tokens(F.col(title)), "_both": term_tokens(both)})
-    n = cut.withColumns({"a": count_terms(F.col("_both"), both, terms_a), "b": count_terms(F.col("_both"), both, terms_b), "_a": count_terms(F.col("_title"), F.col(title), terms_a), "_b": count_terms(F.col("_title"), F.col(title), terms_b)})
+    n = df.withColumns({"a": count_terms(both, terms_a), "b": count_terms(both, terms_b), "_a": count_terms(F.col(title), terms_a), "_b": count_terms(F.col(title), terms_b)})
     stated = any_of(F.lower(both), phrases) if phrases else F.lit(False)
     a, b = F.col("a"), F.col("b")
     verdict = F.when(stated, True).when((F.col("_b") > 0) & (b >= 3), False).otherwise(((F.col("_a") > 0) & (b <= 2)) | ((a >= 3) & (b <= 1)))
-    return n.withColumn("rejected", verdict).drop("_title", "_both", "_a", "_b")
+    return n.withColumn("rejected", verdict).drop("_a", "_b")
 
 
 def distinct_hits(title: Column, text: Column, title_out: Sequence[str], tools: Sequence[str], core: Sequence[str], least: int = 3, most: int = 1) -> Column:
