@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.stages import discard, shared_path, written
 
-__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "spread_join", "table", "text_or_empty", "without", "written"]
+__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "small_batches", "spread_join", "table", "text_or_empty", "without", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -22,6 +25,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Python tasks get at most so many rows at a time, as befits rows of some kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread_join(rows: DataFrame, values: DataFrame, key: str, salt: Column, salts: int = 64) -> DataFrame:
     """rows (a written table) joined to values (one row a key), a hot key's rows in up to so many parts.
 

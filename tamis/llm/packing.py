@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_or_empty, written
+from ._shared import small_batches, text_or_empty, written
 from .byte_bpe import encode_text
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
@@ -246,7 +246,7 @@ class _Rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _LEVEL, strict=True)], schema=_LEVEL)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one have about so many bytes."""
     for b in batches:
         upto = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)) // most
@@ -307,7 +307,8 @@ def _again(capacity: int, most_open: int, level: int, last: bool):
 def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, most_open: int = 4096) -> DataFrame:
     """One row per piece of a document; pieces of one sequence_id make up a training sequence."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    level = written(texts.mapInArrow(_first(path, capacity, end_id, most_open), _LEVEL_SQL), "packed-0")
+    with small_batches(docs.sparkSession, 2500):
+        level = written(texts.mapInArrow(_first(path, capacity, end_id, most_open), _LEVEL_SQL), "packed-0")
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     packed, number = level.where("ids is null").select(columns), 0
     while True:
@@ -317,5 +318,6 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, m
             return packed
         number += 1
         sorted_left = left.repartition("block").sortWithinPartitions("block", "sequence_id", "offset")
-        level = written(sorted_left.mapInArrow(_again(capacity, most_open, number, top == 0), _LEVEL_SQL), f"packed-{number}")
+        with small_batches(docs.sparkSession, 1000):
+            level = written(sorted_left.mapInArrow(_again(capacity, most_open, number, top == 0), _LEVEL_SQL), f"packed-{number}")
         packed = packed.unionByName(level.where("ids is null").select(columns))
