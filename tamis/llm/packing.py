@@ -246,7 +246,7 @@ class _Rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _LEVEL, strict=True)], schema=_LEVEL)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one have about so many bytes."""
     for b in batches:
         upto = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)) // most
@@ -269,6 +269,7 @@ def _first(path: str, capacity: int, end_id: int, most_open: int):
                     for window in packer.put(Piece(doc, start, total, ids[4 * start : 4 * (start + capacity)])):
                         rows.add(window)
             yield from rows.batches()
+            pa.default_memory_pool().release_unused()
         for window in packer.rest():
             rows.add(window, task // FAN_IN)
             yield from rows.batches(500)
@@ -307,7 +308,7 @@ def _again(capacity: int, most_open: int, level: int, last: bool):
 def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 1, most_open: int = 4096) -> DataFrame:
     """One row per piece of a document; pieces of one sequence_id make up a training sequence."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    with small_batches(docs.sparkSession, 2500):
+    with small_batches(docs.sparkSession, 1000):
         level = written(texts.mapInArrow(_first(path, capacity, end_id, most_open), _LEVEL_SQL), "packed-0")
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     packed, number = level.where("ids is null").select(columns), 0
