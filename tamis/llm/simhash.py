@@ -46,23 +46,33 @@ PARTS, PART_BITS = MOST + 1, 9
 _LINKS = "a long, b long, key long, member long, place long"
 
 
-def fingerprint(text: str) -> int:
-    """64 bits: a bit is set if it is in more than half of the shingles' hashes."""
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """The 64-bit hash of every word shingle of a text, repeats included, as big-endian numbers; of few words one shingle."""
     import xxhash
 
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
-    joined, width = b" ".join(words), min(WIDTH, len(words))
+        return np.empty(0, ">u8")
+    joined, width = b" ".join(words), min(width, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: len(words) - width + 1]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]), ">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: a bit is set if it is in more than half of the hashes; zero without any."""
+    if not len(hashes):
+        return 0
+    octets, ones = hashes.view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for i in range(0, len(octets), 65536):
+        ones += np.unpackbits(octets[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(octets)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
