@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, divergence, exact_dedup, packing, rule_quality, simhash, slots, toxicity, url_lists
+from . import byte_bpe, chat, divergence, exact_dedup, license_scan, packing, periodic, rule_quality, simhash, slots, toxicity, url_lists
 from ._shared import held_out, table
 
 
@@ -104,12 +104,34 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_byte_bpe, op3_virtual_slots, op4_divergence, op5_prefix_targets, op6_simhash, op7_packing, op8_exact_dedup, op9_temporal_url_lists, op10_rule_ensemble)
+    for f in (
+        op1_toxicity,
+        op2_byte_bpe,
+        op3_virtual_slots,
+        op4_divergence,
+        op5_prefix_targets,
+        op6_simhash,
+        op7_packing,
+        op8_exact_dedup,
+        op9_temporal_url_lists,
+        op10_rule_ensemble,
+        op12_periodic_runs,
+        op13_license_scan,
+    )
 }
 
 ORACLE_SQL = {
+    "op13_license_scan": license_scan.oracle_sql(),
     "op4_divergence": r"""
 with d as (select doc_id, lang, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
 k as (select doc_id, lang, n, n - length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as c1, n - length(regexp_replace(t, '\p{Ll}+', '', 'g')) as c2, n - length(regexp_replace(t, '\p{Lu}+', '', 'g')) as c3,
