@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stages import discard, shared_path, written
 
-__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "small_batches", "spread_join", "table", "text_or_empty", "without", "written"]
+__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "small_batches", "spread_join", "table", "terms_of", "text_or_empty", "without", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of terms in lower case, and a space for all others.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def terms_of(text: str) -> list[bytes]:
+    """ASCII letters (A-Z lower-cased), digits and whatever isn't ASCII, in maximal stretches."""
+    return text.encode().translate(_TERMS).split()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import text_or_empty
+from ._shared import terms_of, text_or_empty
 
 K = 3
 SLACK = 2
@@ -69,15 +69,9 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
-#: Bytes of words in lower case, and a space for all others.
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(_WORDS).split()
-
-
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -111,7 +105,7 @@ def template_places(spark: SparkSession, templates: Sequence[tuple[str, str]] =
     """hash, template, label, at, total (words of the template) and gram of every group of k words, the entry OWN, and their number."""
     known, rows = _WordHashes(), [(OWN, -1, None, 0, 0, None)]
     for number, (label, text) in enumerate(templates):
-        words = words_of(text)
+        words = terms_of(text)
         for at, h in enumerate(rolling(words, k, known).tolist()):
             rows.append((h, number, label, at, len(words), b" ".join(words[at : at + k]).decode()))
     return spark.createDataFrame(rows, "hash long, template int, label string, at int, total int, gram string"), len(rows)
@@ -127,7 +121,7 @@ def _hashed(phrases, k: int):
                     known.clear()
                 hashes, rows = [], []
                 for text in part.column("text").to_pylist():
-                    words = words_of(text)
+                    words = terms_of(text)
                     places = phrase_places(words, phrases) if any(m in words for m in marks) else []
                     at = [i for i, _ in places]
                     rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), b" ".join(words)))

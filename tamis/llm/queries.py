@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, divergence, exact_dedup, license_scan, packing, periodic, rule_quality, simhash, slots, toxicity, url_lists
+from . import byte_bpe, chat, divergence, exact_dedup, lexical, license_scan, packing, periodic, rule_quality, simhash, slots, toxicity, url_lists
 from ._shared import held_out, table
 
 
@@ -104,6 +104,10 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
 
@@ -125,12 +129,14 @@ QUERIES = {
         op8_exact_dedup,
         op9_temporal_url_lists,
         op10_rule_ensemble,
+        op11_lexical_search,
         op12_periodic_runs,
         op13_license_scan,
     )
 }
 
 ORACLE_SQL = {
+    "op11_lexical_search": lexical.ORACLE,
     "op13_license_scan": license_scan.oracle_sql(),
     "op4_divergence": r"""
 with d as (select doc_id, lang, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
