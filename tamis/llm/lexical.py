@@ -14,7 +14,7 @@ with the posting lists of some thousand documents:
   ends when the largest impacts of the lists that are left can't add up to the threshold.
 
 A threshold is a score that the k-th best document is known to reach: the k-th best of the
-first ``SAMPLE`` segments, or of the segment itself if that is more. So nothing is approximate and
+first segments of up to ``SAMPLE`` tasks, or of the segment itself if that is more. So nothing is approximate and
 results are those of scoring every document; ties at the threshold are scored.
 
 Spark counts documents, lengths and document frequencies, deals segments to tasks and merges each segment's
@@ -35,16 +35,18 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, terms_of, text_or_empty, written
+from ._shared import discard, small_batches, terms_of, text_or_empty, written
 
 K = 50
-#: Documents of a segment, of a block; coordinates of a summary; segments that give the first thresholds.
+#: Documents of a segment, of a block; coordinates of a summary; tasks whose first segments give the first thresholds.
 SEGMENT, BLOCK, COORDINATES, SAMPLE = 4096, 64, 256, 4
 QUERIES = 2000
 #: The arrays of a segment.
@@ -114,10 +116,10 @@ def blocked(places: np.ndarray, like: np.ndarray, block: int) -> tuple[np.ndarra
     return order, np.flatnonzero(within % (2 * block) == 0)
 
 
-def build(ids: list, n: np.ndarray, term: np.ndarray, count: np.ndarray, held: np.ndarray, weights: Weights, block: int = BLOCK) -> dict[str, np.ndarray]:
+def build(ids: list, n: np.ndarray, term: np.ndarray, counts: np.ndarray, held: np.ndarray, weights: Weights, block: int = BLOCK) -> dict[str, np.ndarray]:
     """One segment: documents (ids), and its postings, held[i] of document i, one after the other."""
     doc = np.repeat(np.arange(len(n)), held)
-    impact = weights.impacts(n[doc], count.astype(np.int64))
+    impact = weights.impacts(n[doc], counts.astype(np.int64))
     worth = impact * weights.weight[term]
     unit = int(worth.max(initial=0)) // 65535 + 1
     sketch = np.zeros((len(n), COORDINATES), np.uint16)
@@ -156,10 +158,11 @@ def build(ids: list, n: np.ndarray, term: np.ndarray, count: np.ndarray, held: n
 
 
 def segments(rows: DataFrame, weights: Weights, *, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
-    """Rows of forward as segments, one a row, their arrays as bytes."""
+    """Rows of forward as segments, one a row: their task, their place in it, and their arrays as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        task, nth = TaskContext.get().partitionId(), count()
 
         def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
@@ -168,7 +171,8 @@ def segments(rows: DataFrame, weights: Weights, *, segment: int = SEGMENT, block
             flat = lambda c: np.asarray(of(c).flatten(), np.int64)
             size = np.diff(np.asarray(lists.offsets)) if len(lists) else np.empty(0, np.int64)
             s = build(of("doc_id").to_pylist(), np.asarray(of("n")), flat("ids"), flat("counts"), size, weights, block)
-            return pa.RecordBatch.from_pydict({k: pa.array([np.ascontiguousarray(s[k], kind).tobytes()], pa.binary()) for k, kind in _KINDS.items()})
+            number = {"task": pa.array([task], pa.int32()), "nth": pa.array([next(nth)], pa.int32())}
+            return pa.RecordBatch.from_pydict(number | {k: pa.array([np.ascontiguousarray(s[k], kind).tobytes()], pa.binary()) for k, kind in _KINDS.items()})
 
         have = 0
         for batch in batches:
@@ -181,7 +185,7 @@ def segments(rows: DataFrame, weights: Weights, *, segment: int = SEGMENT, block
         if held:
             yield made(held)
 
-    return rows.mapInArrow(run, ", ".join(f"{k} binary" for k in _KINDS))
+    return rows.mapInArrow(run, ", ".join(["task int", "nth int", *(f"{k} binary" for k in _KINDS)]))
 
 
 class Segment:
@@ -274,7 +278,8 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = K, queries: int = QUER
         for r in asked.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect():  # about ``queries`` rows
             texts.setdefault(r["item_id"], set()).update(t.decode() for t in terms_of(r["text"]))
         number = {t: i for i, t in enumerate(sorted(set().union(*texts.values())))}
-        rows = written(forward(docs, number), "lexical-forward")
+        with small_batches(docs.sparkSession, 2000):
+            rows = written(forward(docs, number), "lexical-forward")
         total = rows.agg(F.count(F.when(F.col("n") > 0, 1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
         frequency = np.zeros(len(number), np.int64)
         for r in rows.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # one row a term of these queries
@@ -283,9 +288,11 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = K, queries: int = QUER
         wanted = {item: np.array(sorted(number[t] for t in terms if frequency[number[t]]), np.int64) for item, terms in texts.items()}
         wanted = {item: terms for item, terms in wanted.items() if len(terms)} or {0: np.empty(0, np.int64)}
         index = written(segments(rows, weights, segment=segment, block=block), "lexical-segments")
-        first = ranked(best(index.limit(sample), weights, wanted, {}, k), k).where(F.col("rank") == k)
-        least = {r["item_id"]: r["score"] for r in first.select("item_id", "score").collect()}
-        out.append(written(ranked(best(index, weights, wanted, least, k), k), "lexical-best"))
+        with small_batches(docs.sparkSession, 1):  # a row is a segment
+            some = index.where((F.col("nth") == 0) & (F.col("task") < sample))
+            first = ranked(best(some, weights, wanted, {}, k), k).where(F.col("rank") == k)
+            least = {r["item_id"]: r["score"] for r in first.select("item_id", "score").collect()}  # one row a query
+            out.append(written(ranked(best(index, weights, wanted, least, k), k), "lexical-best"))
         discard(rows, index)
     made = out[0]
     for more in out[1:]:
