@@ -11,14 +11,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, any_of, hits, word_count
+from .text import SPACE, any_of, hits, let, word_count
 
 # Phrases that tell languages apart.
 PHRASES = {
-    "fr": ("rejoignez", "nous recherchons", "vous serez", "vos missions", "votre profil", "expérience", "compétences", "télétravail", "entreprise", "poste"),
-    "de": ("wir suchen", "ihre aufgaben", "ihr profil", "was wir bieten", "kenntnisse", "berufserfahrung", "standort", "vollzeit"),
-    "en": ("we are looking", "you will", "requirements", "responsibilities", "join our", "we offer", "about us", "must have", "nice to have"),
-}
+    "fr": (
+        "rejoignez", "nous recherchons", "vous serez", "vos missions", "votre profil", "profil recherché", "rémunération", "poste",
+        "entreprise", "développeur", "ingénieur", "expérience", "compétences", "télétravail", "candidature", "nous vous", "dans le cadre",
+    ),
+    "de": (
+        "wir suchen", "ihre aufgaben", "ihr profil", "was wir bieten", "kenntnisse", "entwickler", "berufserfahrung", "standort",
+        "vollzeit", "festanstellung", "deutschkenntnisse",
+    ),
+    "en": (
+        "we are looking", "you will", "requirements", "responsibilities", "join our", "we offer", "about us", "must have", "nice to have",
+        "experience with", "what you", "the role", "ideal candidate",
+    ),
+}
 # Phrase groups for work modes, asked in this order.
 WORK_MODES = (
     ("remote", ("fully remote", "100% remote", "remote only", "full remote", "work from anywhere", "télétravail complet", "vollständig remote")),
@@ -51,14 +60,17 @@ YEAR_PACKS: Mapping[str, tuple[tuple[str, int], ...]] = {
 
 def detect_language(text: Column, phrases: Mapping[str, Sequence[str]] = PHRASES, share: float = 0.02, most: int = 5) -> Column:
     """fr or de where a text has many of their letters or phrases, else en. Ties go to fr."""
-    low = F.lower(text)
-    words = F.greatest(word_count(low), F.lit(1))
-    out = F
-    for code, letters in (("fr", "[àâéèêëîïôùûçœæ]"), ("de", "[äöüß]")):
-        n = F.regexp_count(low, F.lit(letters))
-        out = out.when((n / words > share) | (n > most), code)
-    fr, de, en = (hits(low, phrases[k]) for k in ("fr", "de", "en"))
-    return out.when((fr > en) | (de > en), F.when(fr >= de, "fr").otherwise("de")).otherwise("en")
+
+    def of(low: Column) -> Column:
+        words, out = F.greatest(word_count(low), F.lit(1)), F
+        for code, letters in (("fr", "[àâéèêëîïôùûçœæ]"), ("de", "[äöüß]")):
+            n = F.regexp_count(low, F.lit(letters))
+            out = out.when((n / words > share) | (n > most), code)
+        counted = F.struct(*[hits(low, phrases[k]).alias(k) for k in ("fr", "de", "en")])
+        leads = lambda n: F.when((n["fr"] > n["en"]) | (n["de"] > n["en"]), F.when(n["fr"] >= n["de"], "fr").otherwise("de")).otherwise("en")
+        return out.otherwise(let(counted, leads))
+
+    return let(F.lower(text), of)
 
 
 def detect_language_votes(text: Column, phrases: Mapping[str, Sequence[str]], least: int = 2, default: str = "en") -> Column:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .store import StoredTable
+
+#: An entry of a stored ledger: what was done to a key, when, and until when that holds.
+ENTRY = "kind string, key string, op string, ts timestamp, event_id bigint, expires_at timestamp"
 
 
 def live(ledger: DataFrame, as_of: Column, ttl_hours: Mapping[str, int], key: str) -> DataFrame:
@@ -67,3 +73,87 @@ def repair_urls(rows: DataFrame, pattern: str, replacement: str) -> DataFrame:
     """Broken urls rewritten, unless a row with the repaired url exists already."""
     broken = rows.where(F.col("url").rlike(pattern)).withColumn("repaired", F.regexp_replace("url", pattern, replacement))
     return broken.join(rows.select(F.col("url").alias("repaired")).distinct(), "repaired", "left_anti")
+
+
+# Tables that outlive a run.
+
+
+def stored_ledger(spark: SparkSession, path: str, buckets: int = 64) -> StoredTable:
+    """The ledger at a path: append puts entries into it, compact_ledger keeps it small."""
+    return StoredTable(spark, path, StructType.fromDDL(ENTRY), ["kind", "key"], buckets)
+
+
+def latest(entries: DataFrame) -> DataFrame:
+    """The last entry of each kind and key."""
+    rest = [c for c in entries.columns if c not in ("kind", "key")]
+    last = entries.groupBy("kind", "key").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("e"))
+    return last.select("kind", "key", "e.*")
+
+
+def unexpired(entries: DataFrame, as_of: Column) -> DataFrame:
+    """Last entries whose own life isn't over; removals too, so that an older entry that comes late stays removed."""
+    return latest(entries).where(F.coalesce(F.col("expires_at") > as_of, F.lit(True)))
+
+
+def members(entries: DataFrame, as_of: Column) -> DataFrame:
+    """Kind and key of what is in the ledger's sets."""
+    return unexpired(entries, as_of).where("op != 'remove'").select("kind", "key", "ts", "expires_at")
+
+
+def compact_ledger(store: StoredTable, as_of: Column) -> None:
+    """One entry a key, none that is over; what a reader finds doesn't change."""
+    store.compact(lambda rows: unexpired(rows, as_of))
+
+
+def _placed(old: DataFrame, new: DataFrame, order: Sequence[str]) -> tuple[DataFrame, Column]:
+    at = F.struct(*[F.col(c) for c in order])
+    rows = old.select(*old.columns, F.lit(0).alias("_new"), F.lit(None).cast(new.select(at.alias("o")).schema["o"].dataType).alias("_at"))
+    return rows.unionByName(new.select(*old.columns, F.lit(1).alias("_new"), at.alias("_at"))), F.struct("_new", "_at")
+
+
+def upsert_into(store: StoredTable, changes: DataFrame, replace: Sequence[str], order: Sequence[str], batch: tuple[str, int] | None = None) -> None:
+    """Changes into a stored table, one row a key: the replaced columns from the last change, all others from what is stored, or else from the first change."""
+
+    def fold(old: DataFrame, new: DataFrame) -> DataFrame:
+        rows, place = _placed(old, new, order)
+        rest = [c for c in store.schema.names if c not in store.key]
+        return rows.groupBy(*store.key).agg(*[(F.max_by if c in replace else F.min_by)(c, place).alias(c) for c in rest])
+
+    missing = [c for c in order if c not in store.schema.names]
+    if missing:
+        raise ValueError(f"the stored table has no {missing} to order changes by")
+    store.merge(changes, fold, batch)
+
+
+def insert_absent(store: StoredTable, rows: DataFrame, order: Sequence[str], batch: tuple[str, int] | None = None) -> None:
+    """Rows of keys that the stored table doesn't have yet, the first of each: first write wins, and a backfill."""
+    upsert_into(store, rows, (), order, batch)
+
+
+def repair_stored(store: StoredTable, column: str, pattern: str, replacement: str, order: Sequence[str]) -> None:
+    """Rewrite the values of a column that match a pattern, in the stored rows.
+
+    As under a unique index, a row whose repaired value another row has already stays as it
+    is, and of several that would get the same value the first in order gets it.
+    """
+    rows = store.read()
+    broken = rows.where(F.col(column).rlike(pattern)).withColumn("_to", F.regexp_replace(column, pattern, replacement))
+    free = broken.join(rows.select(F.col(column).alias("_to")).distinct(), "_to", "left_anti")
+    first = free.groupBy("_to").agg(F.min_by(F.struct(*store.schema.names), F.struct(*order)).alias("r"))
+    fixed = first.select(*[F.col("_to").alias(column) if c == column else F.col(f"r.{c}").alias(c) for c in store.schema.names])
+    upsert_into(store, fixed, (column,), order)
+
+
+def bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """Rows as a table of the catalog in buckets of a key, sorted, one file a bucket: what joins on the key needn't deal out again."""
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def unseen(rows: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Rows whose key a long history doesn't hold.
+
+    With a history that ``bucketed`` wrote, with at least as many buckets as shuffle partitions,
+    only the rows are exchanged; where they are bucketed alike, nothing is.
+    """
+    return rows.join(history.select(key), key, "left_anti")

@@ -79,10 +79,21 @@ def blocked_company(company_key: Column, names: Sequence[str]) -> Column:
 
 
 def blocked_by_list(df: DataFrame, company_key: str, names: DataFrame) -> DataFrame:
-    """As blocked_company for a long list: single-word names in a table are met by an equality join."""
-    words = df.select("*", F.explode(F.array_distinct(F.split(F.col(company_key), "[^a-z0-9_]+"))).alias("_word"))
-    bad = words.join(names.select(F.col("name").alias("_word")), "_word", "left_semi").select(F.col(company_key).alias("_bad")).distinct()
-    return df.join(bad, F.col(company_key) == F.col("_bad"), "left_anti")
+    """As blocked_company for a list (name) of any length: rows without a blocked name.
+
+    An index from one word of each name to the name, the word that fewest names hold, is met by
+    equality with the words of the distinct company names, and what meets is then compared as
+    a whole. A name without a letter or digit blocks nothing.
+    """
+    word = "[a-z0-9_]+"
+    told = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(word), F.lit(0)))).alias("_word"))
+    held = told.groupBy("_word").agg(F.count("*").alias("_n"))
+    index = told.join(held, "_word").groupBy("name").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    companies = df.select(F.col(company_key).alias("_key")).where("_key is not null").distinct()
+    words = companies.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("_key", F.lit(word), F.lit(0)))).alias("_word"))
+    whole = F.concat(F.lit(r"(^|[^a-z0-9_])\Q"), "name", F.lit(r"\E([^a-z0-9_]|$)"))
+    bad = words.join(index, "_word").where(F.rlike("_key", whole)).select("_key").distinct()
+    return df.join(bad, F.col(company_key) == F.col("_key"), "left_anti")
 
 
 def wrong_language(found: Column, wanted: str, team_signal: Column, home: Column, title: Column | None = None, accents: str = "[àâéèêëîïôùûüçœæäöüß]") -> Column:
@@ -153,28 +164,60 @@ def cooccurrence(text: Column, token: str, others: Sequence[str]) -> Column:
     return F.contains(low, F.lit(token)) & any_of(low, others)
 
 
-# Places and phrasings of where remote work is allowed.
+# Patterns of where remote work is allowed, as whole words; open ones are met anywhere.
 SCOPES: Mapping[str, Sequence[str]] = {
-    "restricted": ("us only", "us-only", "usa only", "remote (us)", "north america only", "latam only", "apac only", "must be based in the us", "united states only"),
+    "restricted": (
+        "us[ -]?only", "usa only", "united states only", "remote *[(]us[)]", "remote us", "us remote", "remote in the us",
+        "us[ -]based", "based in the us", "us residents?", "must be located in the us", "must reside in the us",
+        "us work authorization", "authorized to work in the us", "us citizens?", "green card", "w-?2",
+        "canada only", "us or canada", "us/canada", "us & canada", "north america only", "na only", "us/ca",
+        "latam", "latin america", "argentina only", "brazil only", "mexico only", "americas only", "apac", "asia-pacific",
+        "india only", "australia only", "us or latam",
+        "pacific hours", "pst hours", "est hours", "us pacific", "us eastern", "overlap with us", "us time ?zone", "us timezones", "us business hours",
+        "strong overlap w(?:ith)?/? ?(?:us )?eastern(?: us)? time ?zone", "est overlap", "us east coast hours", "americas time ?zone",
+    ),
     "label": ("united states",),
-    "open": ("emea", "europe", "european union", "anywhere in the eu", "eu remote"),
-    "global": ("fully remote", "worldwide"),
-}
-RESIDENCE = ("must reside in", "must be based in", "must live in", "residents of", "based in", "located in", "right to work in", "only open to candidates in", "candidates must be in")
-
-
-def remote_scope(label: Column, text: Column, countries: Sequence[str], scopes: Mapping[str, Sequence[str]] = SCOPES, residence: Sequence[str] = RESIDENCE, head: int = 1500) -> Column:
+    "open": (
+        "emea", "europe", "european", "eu remote", "remote eu", "eu only", "cet", "cest", "utc+1", "utc+2", "worldwide", "global", "anywhere",
+        "germany", "deutschland", "belgium", "belgique", "belgie", "netherlands", "nederland", "luxembourg", "france", "ireland", "poland", "polska",
+        "spain", "españa", "sweden", "sverige", "italy", "italia", "denmark", "danmark", "czech", "austria", "portugal", "finland", "greece",
+        "hungary", "romania", "bulgaria", "croatia", "slovakia", "slovenia", "estonia", "latvia", "lithuania", "malta", "cyprus",
+    ),
+    "global": ("fully remote",),
+}
+# How a text demands residence in one country, C, and countries other than home.
+RESIDENCE = (
+    "must be based in (?:the )?C",
+    "must be located in (?:the )?C",
+    "C residents? only",
+    "residents? of (?:the )?C only",
+    "must reside in (?:the )?C",
+    "only candidates? (?:currently )?living in (?:the )?C",
+    "C[ -]based candidates? only",
+    "open only to C residents",
+)
+COUNTRIES = (
+    "netherlands", "belgium", "germany", "poland", "italy", "spain", "sweden", "denmark", "austria", "portugal", "ireland", "luxembourg", "finland", "greece",
+    "hungary", "romania", "bulgaria", "croatia", "slovakia", "slovenia", "estonia", "latvia", "lithuania", "malta", "cyprus", "norway", "switzerland",
+    "united kingdom", "the uk", "great britain", "czech republic", "czechia",
+)
+
+
+def remote_scope(label: Column, text: Column, countries: Sequence[str] = COUNTRIES, scopes: Mapping[str, Sequence[str]] = SCOPES, residence: Sequence[str] = RESIDENCE, head: int = 1500) -> Column:
     """Where remote work is allowed: restricted, single-country, open, global or unknown.
 
-    The label is asked before the text's first 1500 characters; a residence demand is asked
-    before a mere mention of the same country.
+    The label and the text's first 1500 characters are asked. A region that is shut out comes first,
+    then a demand to live in one country, which a mere mention of that country isn't; then
+    mentions that open the place up.
     """
     a, b = F.lower(F.coalesce(label, F.lit(""))), F.lower(F.substring(F.coalesce(text, F.lit("")), 1, head))
     either = lambda terms: any_of(a, terms) | any_of(b, terms)
-    demand = "(" + "|".join(map(re.escape, residence)) + ") (the )?(" + "|".join(sorted(map(re.escape, countries), key=lambda c: (-len(c), c))) + ")"
+    words = lambda patterns: F.lit(f"(^|[^a-z0-9_])(?:{'|'.join(patterns)})([^a-z0-9_]|$)")
+    told = lambda patterns: F.rlike(a, words(patterns)) | F.rlike(b, words(patterns))
+    names = "(?:" + "|".join(sorted((re.escape(c).replace("\\ ", "[ -]") for c in countries), key=lambda c: (-len(c), c))) + ")"
     return (
-        F.when(either(scopes["restricted"]) | any_of(a, scopes["label"]), "restricted")
-        .when(a.rlike(demand) | b.rlike(demand), "single-country")
+        F.when(told(scopes["restricted"]) | F.rlike(a, words(scopes["label"])), "restricted")
+        .when(told([r.replace("C", names) for r in residence]), "single-country")
         .when(either(scopes["open"]), "open")
         .when(either(scopes["global"]), "global")
         .otherwise("unknown")

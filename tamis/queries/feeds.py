@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import report
+from ..operators import health, report
+from ..operators.stages import shared_path
 from ..plans import adapters as A
 from ..sources import feeds, html
 from ..sources.variant import first_list, string_or_object
@@ -64,11 +65,13 @@ def _(spark, d):
     return pages(spark, d).select("page_id", html.first_offsite(F.col("html"), F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]+)", 1)).alias("link"))
 
 
-@query("rss_items", """with i as (select posting_id, unnest([{'nth': 0, 'title': title, 'region': 'Anywhere', 'at': strftime(published_at, '%Y-%m-%d %H:%M:%S')}, {'nth': 1, 'title': 'Second of ' || company, 'region': country, 'at': '2024-01-31 00:00:00'}]) as r from postings)
+RSS = """with i as (select posting_id, unnest([{'nth': 0, 'title': title, 'region': 'Anywhere', 'at': strftime(published_at, '%Y-%m-%d %H:%M:%S')}, {'nth': 1, 'title': 'Second of ' || company, 'region': country, 'at': '2024-01-31 00:00:00'}]) as r from postings)
 select posting_id, r.title as title, case r.nth when 0 then url else 'https://guid.example/' || posting_id end as url, case r.nth when 0 then 'About <b>it</b>' else '' end as description, r.region as region, r.at as at
-from (select posting_id, case when r.nth = 0 then {'nth': 0, 'title': nullif(trim(r.title), ''), 'region': r.region, 'at': r.at} else r end as r from i) join postings using (posting_id) where r.title is not null""", "postings")
-def _(spark, d):
-    """A feed a posting: an item with all its parts, one with a guid and a category and no date, one whose date can't be read, one without a link."""
+from (select posting_id, case when r.nth = 0 then {'nth': 0, 'title': nullif(trim(r.title), ''), 'region': r.region, 'at': r.at} else r end as r from i) join postings using (posting_id) where r.title is not null"""
+
+
+def rss_parts(postings):
+    """The items of a feed for a posting: one with all its parts, one with a guid and a category and no date, one whose date can't be read, one without a link."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     cdata = lambda value: F.concat(F.lit("<![CDATA["), value, F.lit("]]>"))
     item = lambda *parts: tag("item", F.concat(*parts))
@@ -76,11 +79,29 @@ def _(spark, d):
     guid = F.concat(F.lit("https://guid.example/"), F.col("posting_id").cast("string"))
     second = item(tag("title", F.concat(F.lit("Second of "), "company")), tag("guid", guid), tag("category", F.col("country")))
     broken = item(tag("title", F.lit("x")), tag("link", F.lit("y")), tag("pubDate", F.lit("soon")))
-    rows = A.postings(spark, d).select("posting_id", F.concat(F.lit("<rss>"), first, second, broken, item(tag("title", F.lit("no link"))), F.lit("</rss>")).alias("xml"))
+    return first, second, broken, item(tag("title", F.lit("no link")))
+
+
+@query("rss_items", RSS, "postings")
+def _(spark, d):
+    """A feed a posting."""
+    p = A.postings(spark, d)
+    rows = p.select("posting_id", F.concat(F.lit("<rss>"), *rss_parts(p), F.lit("</rss>")).alias("xml"))
     got = rows.select("posting_id", F.explode(html.rss_items(F.col("xml"), A.as_of())).alias("r"))
     return got.select("posting_id", "r.title", "r.url", "r.description", "r.region", F.date_format("r.published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("rss_xml", f"with rss as ({RSS}) select title, url, description, region, rss.at as at from rss", "postings")
+def _(spark, d):
+    """Two landed feeds with the items of half of all postings each, of which Spark reads parts of a megabyte."""
+    p = A.postings(spark, d).withColumn("half", F.pmod(F.xxhash64("posting_id"), F.lit(2)))
+    at = shared_path(spark, "rss")
+    p = p.withColumn("url", F.replace("url", F.lit("&"), F.lit("&amp;")))
+    p.select("half", F.concat(*rss_parts(p)).alias("value")).repartition(2, "half").sortWithinPartitions("half").select("value").write.text(at)
+    got = feeds.rss_files(spark, at, A.as_of())
+    return got.select("title", "url", "description", "region", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 CARD = f"""select page_id, i as nth, title, link from (select page_id, unnest(range(len(b))) as i, unnest(b) as x from (select page_id, b from (select page_id, regexp_extract_all(html, '(?is)<(?:li)(?:[ \\t\\n][^>]*)?>(.*?)</(?:li)>', 1) as b from pages))),
   lateral (select {STRIP.format('''coalesce(nullif(regexp_extract(x, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1), ''), regexp_extract(x, '(?is)<a [^>]*>(.*?)</a>', 1))''')} as title, regexp_extract(x, 'href="([^"]+)"', 1) as link) where length(title) >= 3 and link <> ''"""
 
@@ -164,6 +185,39 @@ def _(spark, d):
     return canonical(spark, d).select("source", "source_priority", "url", "title", "company", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
+#: Responses a line: with a list, with a broken one, without any, with an empty one.
+BODY = {0: "'{\"jobs\":[{\"id\":' || posting_id || '},{\"id\":-1}]}'", 1: "'{\"jobs\":[{\"id\":' || posting_id", 2: "'{\"error\":\"' || source || '\"}'", 3: "'{\"jobs\":[]}'"}
+LANDED = feeds.Feed("landed", 1, "jobs array<struct<id:bigint>>, error string", "jobs", {"title": ("id",)}, lines=True)
+
+
+def landed_responses(spark, d):
+    at = shared_path(spark, "responses")
+    i = F.col("posting_id")
+    body = F.expr("case posting_id % 4 " + " ".join(f"when {k} then {v}" for k, v in BODY.items()) + " end")
+    A.postings(spark, d).select(i, "source", body.alias("value")).select("value").write.text(at)
+    return LANDED.responses(spark, at)
+
+
+@query("feed_quarantine", f"select 'landed' as feed, case posting_id % 4 when 1 then {BODY[1]} end as raw, case posting_id % 4 when 1 then 'malformed' else 'no list' end as reason from postings where posting_id % 4 in (1, 2)", "postings")
+def _(spark, d):
+    """Responses that were landed broken or without a list."""
+    return LANDED.quarantine(landed_responses(spark, d)).select("feed", "raw", "reason")
+
+
+@query("feed_landed_items", "select unnest([posting_id, -1]) as id from postings where posting_id % 4 = 0", "postings")
+def _(spark, d):
+    """Items of the responses beside those."""
+    return LANDED.explode(LANDED.good(landed_responses(spark, d))).select("item.id")
+
+
+@query("feed_run_counts", f"""with r as (select 'landed' as source, count(*) as responses, count(*) filter (posting_id % 4 in (1, 2)) as broken, (2 * count(*) filter (posting_id % 4 = 0))::bigint as rows_found from postings)
+select *, case when rows_found = 0 then 'empty' else 'ok' end as status from r""", "postings")
+def _(spark, d):
+    """What the health report reads of that run."""
+    counts = LANDED.run_counts(landed_responses(spark, d))
+    return counts.select("source", "responses", "broken", "rows_found", health.classify(F.col("error"), F.col("rows_found"), F.lit(False), F.lit(False)).alias("status"))
+
+
 @query("feed_union", f"select source, count(*) as n from {CANON} group by 1", "postings")
 def _(spark, d):
     return canonical(spark, d).groupBy("source").agg(F.count("*").alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dedup, health, ledger, prefer
+from ..operators.stages import shared_path
+from ..operators.store import StoredTable
 from ..plans import adapters as A
 from ..plans import search
 from . import query
@@ -43,6 +47,16 @@ def _(spark, d):
     return p.join(ledger.live(seen, A.as_of(), TTL, "url_norm"), "url_norm", "left_anti").select("posting_id")
 
 
+@query("anti_seen_bucketed", f"with {U} select posting_id from k where url_norm not in {live_sql('url_norm')}", "postings", "decisions")
+def _(spark, d):
+    """As anti_seen, against a history that was bucketed by its key once: the daily join deals out the postings only."""
+    p = norm(spark, d).select("posting_id", "url_norm")
+    seen = A.decisions(spark, d).join(p, "posting_id")
+    most = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    history = ledger.bucketed(ledger.live(seen, A.as_of(), TTL, "url_norm").select("url_norm").distinct(), f"tamis_seen_{uuid.uuid4().hex}", "url_norm", most)
+    return ledger.unseen(p, history, "url_norm").select("posting_id")
+
+
 @query("anti_role", f"with {U} select posting_id from k where role not in (select role from decisions join k using (posting_id) where kind = 'applied')", "postings", "decisions")
 def _(spark, d):
     p = norm(spark, d)
@@ -221,6 +235,69 @@ def _(spark, d):
     return out.select("posting_id", "profile_id", "first_event", "kind", F.round("score", 2).alias("score"), stamp("ts").alias("decided_at"))
 
 
+def entries(spark, d):
+    """Decisions as a ledger's entries: a reversal takes an application out; every entry has a life of its own."""
+    e = A.decisions(spark, d).where(F.col("kind").isin("seen", "applied", "dismissed", "reverted"))
+    e = ledger.with_expiry(e, F.when(F.col("kind") == "dismissed", 400).otherwise(240))
+    back = F.col("kind") == "reverted"
+    return e.select(F.when(back, "applied").otherwise(F.col("kind")).alias("kind"), F.col("posting_id").cast("string").alias("key"), F.when(back, "remove").otherwise("add").alias("op"), "ts", "event_id", "expires_at")
+
+
+LAST_ENTRY = """x as (select case kind when 'reverted' then 'applied' else kind end as kind, posting_id::varchar as key, case kind when 'reverted' then 'remove' else 'add' end as op, ts, event_id, ts + to_hours(case kind when 'dismissed' then 400 else 240 end) as expires_at from decisions where kind in ('seen', 'applied', 'dismissed', 'reverted')),
+l as (select * from x qualify row_number() over (partition by kind, key order by ts desc, event_id desc) = 1)"""
+DAYS = ("2024-01-11", "2024-01-21")
+
+
+def in_slices(rows):
+    """Rows before each of DAYS, and the rest, with the time that a slice ends."""
+    since = F.lit("1970-01-01").cast("timestamp")
+    for day in (*DAYS, A.AS_OF):
+        until = F.lit(day).cast("timestamp")
+        yield rows.where((F.col("ts") >= since) & (F.col("ts") < until)), until
+        since = until
+
+
+@query("ledger_append", f"with {LAST_ENTRY} select kind, key, {STAMP.format('ts')} as ts, {STAMP.format('expires_at')} as expires_at from l where op <> 'remove' and expires_at > {AS_OF}", "decisions")
+def _(spark, d):
+    """What is in the sets of a stored ledger after three runs have appended to it."""
+    store = ledger.stored_ledger(spark, shared_path(spark, "ledger"), 16)
+    for part, _ in in_slices(entries(spark, d)):
+        store.append(part)
+    return ledger.members(store.read(), A.as_of()).select("kind", "key", stamp("ts").alias("ts"), stamp("expires_at").alias("expires_at"))
+
+
+@query("ledger_compact", f"with {LAST_ENTRY} select kind, key, op, event_id, {STAMP.format('expires_at')} as expires_at from l where expires_at > {AS_OF}", "decisions")
+def _(spark, d):
+    """All that a stored ledger holds when each of three runs has appended to it and pruned it."""
+    store = ledger.stored_ledger(spark, shared_path(spark, "ledger"), 16)
+    for part, until in in_slices(entries(spark, d)):
+        store.append(part)
+        ledger.compact_ledger(store, until)
+    return store.read().select("kind", "key", "op", "event_id", stamp("expires_at").alias("expires_at"))
+
+
+@query("decision_merge", f"with {DECIDED} select f.posting_id, f.profile_id, f.event_id as first_event, l.kind, round(l.score, 2) as score, {STAMP.format('l.ts')} as decided_at from e f join e l on f.posting_id = l.posting_id and f.a = 1 and l.z = 1", "decisions")
+def _(spark, d):
+    """As decision_upsert, but into a stored table: three runs merge their decisions into what is there."""
+    e = A.decisions(spark, d).where(F.col("kind").isin("applied", "dismissed")).withColumns({"first_event": F.col("event_id"), "o": F.col("event_id")})
+    e = e.select("posting_id", "profile_id", "first_event", "kind", "score", "ts", "o")
+    store = StoredTable(spark, shared_path(spark, "decisions"), e.schema, ["posting_id"], 16)
+    for part, _ in in_slices(e):
+        ledger.upsert_into(store, part, ("kind", "score", "ts", "o"), ["ts", "o"])
+    return store.read().select("posting_id", "profile_id", "first_event", "kind", F.round("score", 2).alias("score"), stamp("ts").alias("decided_at"))
+
+
+@query("backfill_stored", f"""with e as (select *, row_number() over (partition by posting_id order by kind, ts, event_id) as nth from decisions where kind in ('applied', 'dismissed'))
+select 'https://history.example/' || posting_id as url, kind, event_id from e where nth = 1""", "decisions")
+def _(spark, d):
+    """A history put into a stored table that already has rows: only keys that are missing are added, the first row of each."""
+    e = A.decisions(spark, d).select(F.concat(F.lit("https://history.example/"), F.col("posting_id").cast("string")).alias("url"), "kind", "ts", "event_id")
+    store = StoredTable(spark, shared_path(spark, "history"), e.schema, ["url"], 16)
+    for kind in ("applied", "dismissed"):
+        ledger.insert_absent(store, e.where(F.col("kind") == kind), ["ts", "event_id"])
+    return store.read().select("url", "kind", "event_id")
+
+
 @query("decisions_recent", f"select event_id, posting_id, kind, {STAMP.format('ts')} as decided_at from decisions where kind in ('applied', 'dismissed') order by ts desc, event_id desc limit 50", "decisions")
 def _(spark, d):
     e = A.decisions(spark, d).where(F.col("kind").isin("applied", "dismissed")).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50)
@@ -284,6 +361,24 @@ def _(spark, d):
     return ledger.repair_urls(rows, "^https://www[.]site[.]example([0-9].*)$", "https://www.site.example/item/$1").select("page_id", "repaired")
 
 
+BROKEN = "^https://www[.]site[.]example([0-9].*)$"
+
+
+@query("url_repair_stored", rf"""with r as (select page_id, case when page_id % 5 = 0 then 'https://www.site.example' || (page_id % 100)::varchar || '-post' when page_id % 5 = 1 then 'https://www.site.example/item/' || (page_id % 100 + 4)::varchar || '-post' else url end as url from pages),
+b as (select min(page_id) as page_id, to_url from (select page_id, regexp_replace(url, '{BROKEN}', 'https://www.site.example/item/\1') as to_url from r where regexp_matches(url, '{BROKEN}')) where to_url not in (select url from r) group by to_url)
+select r.page_id, coalesce(b.to_url, r.url) as url from r left join b using (page_id)""")
+def _(spark, d):
+    """Broken urls rewritten in a stored table, of which only the buckets that hold one are written again."""
+    i = F.col("page_id")
+    broken = F.concat(F.lit("https://www.site.example"), (i % 100).cast("string"), F.lit("-post"))
+    right = F.concat(F.lit("https://www.site.example/item/"), (i % 100 + 4).cast("string"), F.lit("-post"))
+    rows = A.table(spark, d, "pages").select("page_id", F.when(i % 5 == 0, broken).when(i % 5 == 1, right).otherwise(F.col("url")).alias("url"))
+    store = StoredTable(spark, shared_path(spark, "pages"), rows.schema, ["page_id"], 16)
+    store.append(rows)
+    ledger.repair_stored(store, "url", BROKEN, "https://www.site.example/item/$1", ["page_id"])
+    return store.read()
+
+
 @query("history_backfill", """with h as (select 'https://history.example/' || posting_id as url, kind, ts, event_id from decisions where kind in ('applied', 'dismissed'))
 select url, arg_max(kind, {'t': ts, 'e': event_id}) as kind, count(*) as n from h group by 1""", "decisions")
 def _(spark, d):

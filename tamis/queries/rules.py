@@ -69,16 +69,50 @@ def _(spark, d):
 rule_query("clause_reject", sql_any(FULL, L.CLAUSES), lambda: text.any_of(F.lower(full()), L.CLAUSES))
 rule_query("cooccurrence", f"contains(lower(description), 'tion') and {sql_any('lower(description)', L.UNRELATED)}", lambda: R.cooccurrence(F.col("description"), "tion", L.UNRELATED))
 
-SCOPE = {"restricted": ("and the of",), "label": ("the of",), "open": ("the and", "les la"), "global": ("that",)}
-DEMAND = "(of the|und der) (the )?(that|ein|en)"
-
-
-@query("remote_scope", f"""with s as (select posting_id, lower(title) as a, lower(substring(description, 1, 1500)) as b from postings)
-select posting_id, case when {sql_any('a', SCOPE['restricted'])} or {sql_any('b', SCOPE['restricted'])} or {sql_any('a', SCOPE['label'])} then 'restricted'
- when regexp_matches(a, '{DEMAND}') or regexp_matches(b, '{DEMAND}') then 'single-country' when {sql_any('a', SCOPE['open'])} or {sql_any('b', SCOPE['open'])} then 'open'
- when {sql_any('a', SCOPE['global'])} or {sql_any('b', SCOPE['global'])} then 'global' else 'unknown' end as scope from s""", "postings")
+@query("blocked_company_list", f"""with b as (select lower(s_name) as name from supplier where s_acctbal < 0 union select lower(s_name) || ' gmbh' from supplier where s_acctbal > 9000 union select lower(n_name) || ' holding' from nation),
+k as (select posting_id, {NORM_COMPANY.format('company')} as c from (select posting_id, case posting_id % 4 when 0 then country || ' Holding und ' || company when 1 then company || ' Werke' else company end as company from postings))
+select posting_id from k where not exists (select 1 from b where regexp_matches(k.c, '(^|[^a-z0-9_])' || b.name || '([^a-z0-9_]|$)'))""", "postings")
+def _(spark, d):
+    """Postings whose company isn't on a long list, which is a table: names of one to three words."""
+    s, n = (A.table(spark, d, x) for x in ("supplier", "nation"))
+    low = F.lower("s_name")
+    names = s.where("s_acctbal < 0").select(low.alias("name")).unionByName(s.where("s_acctbal > 9000").select(F.concat(low, F.lit(" gmbh")).alias("name"))).unionByName(n.select(F.concat(F.lower("n_name"), F.lit(" holding")).alias("name")))
+    i = F.col("posting_id") % 4
+    company = F.when(i == 0, F.concat("country", F.lit(" Holding und "), "company")).when(i == 1, F.concat("company", F.lit(" Werke"))).otherwise(F.col("company"))
+    p = A.postings(spark, d).select("posting_id", text.normalize_company(company).alias("company_key"))
+    return R.blocked_by_list(p, "company_key", names).select("posting_id")
+
+
+# Labels and beginnings of texts that say, or only seem to say, where remote work is allowed.
+LABELS = ("Remote", "Remote (US/CA)", "United States (Remote)", "Remote EMEA", "Remote (Global)", "Fully remote", "Lyon, France", "Poland-based candidates only")
+HEADS = (
+    "",
+    "You must be based in the Netherlands for this role. ",
+    "Our company is based in Germany. We hire worldwide. ",
+    "Poland residents only, a distributed team. ",
+    "Open only to Spain residents. ",
+    "Candidates must reside in Germany. ",
+    "Residents of the Czech Republic only. ",
+    "Only candidates currently living in Italy. ",
+    "Must overlap with US Pacific hours. ",
+    "US citizens, please. ",
+    "Canada only. ",
+)
+COUNTRY = "(netherlands|belgium|germany|poland|italy|spain|sweden|denmark|austria|portugal|ireland|luxembourg|finland|greece|hungary|romania|bulgaria|croatia|slovakia|slovenia|estonia|latvia|lithuania|malta|cyprus|norway|switzerland|united[ -]kingdom|the[ -]uk|great[ -]britain|czech[ -]republic|czechia)"
+DEMANDS = f"must (be (based|located)|reside) in (the )?{COUNTRY}|{COUNTRY} residents? only|residents? of (the )?{COUNTRY} only|only candidates? (currently )?living in (the )?{COUNTRY}|{COUNTRY}[ -]based candidates? only|open only to {COUNTRY} residents"
+
+
+def word_sql(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, '(^|[^a-z0-9_])({pattern})([^a-z0-9_]|$)')"
+
+
+@query("remote_scope", f"""with s as (select posting_id, lower({list(LABELS)}[posting_id % {len(LABELS)} + 1]) as a, lower(substring({list(HEADS)}[posting_id % {len(HEADS)} + 1] || description, 1, 1500)) as b from postings)
+select posting_id, case when {word_sql('a', '|'.join(R.SCOPES['restricted']))} or {word_sql('b', '|'.join(R.SCOPES['restricted']))} or {word_sql('a', 'united states')} then 'restricted'
+ when {word_sql('a', DEMANDS)} or {word_sql('b', DEMANDS)} then 'single-country' when {sql_any('a', R.SCOPES['open'])} or {sql_any('b', R.SCOPES['open'])} then 'open'
+ when contains(a, 'fully remote') or contains(b, 'fully remote') then 'global' else 'unknown' end as scope from s""", "postings")
 def _(spark, d):
-    return A.postings(spark, d).select("posting_id", R.remote_scope(F.col("title"), F.col("description"), ("that", "ein", "en"), SCOPE, ("of the", "und der")).alias("scope"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("posting_id") % len(values) + 1).cast("int"))
+    return A.postings(spark, d).select("posting_id", R.remote_scope(pick(LABELS), F.concat(pick(HEADS), "description")).alias("scope"))
 
 
 PLACES = R.Places(preferred=(L.HOME_COUNTRY,), excluded=L.EXCLUDED_COUNTRIES, europe=L.EUROPE, relocate=("ROMANIA",), overseas=L.OVERSEAS, overseas_allowed=True, needs_support=("UNITED KINGDOM",), tiers=((L.HOME_COUNTRY,), L.TIER2, L.TIER3))

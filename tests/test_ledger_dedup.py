@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators import dedup, health, ledger, prefer
@@ -94,3 +95,79 @@ def test_repair_skips_conflicts(spark):
     df = spark.createDataFrame([(1, "https://s.example12-a"), (2, "https://s.example13-b"), (3, "https://s.example/item/13-b")], "id int, url string")
     got = ledger.repair_urls(df, "^https://s[.]example([0-9].*)$", "https://s.example/item/$1").collect()
     assert [(r["id"], r["repaired"]) for r in got] == [(1, "https://s.example/item/12-a")]
+
+
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    """Each row shares a key with the next one, so that plain rounds would decide two rows each."""
+    n = 10_000
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(n)]
+    df = spark.createDataFrame(rows, "o int, a string, b string")
+    rounds = []
+    real = dedup._without
+    monkeypatch.setattr(dedup, "_without", lambda *a: rounds.append(1) or real(*a))
+    got = sorted(r["o"] for r in dedup.two_key_dedup(df, "a", "b", "o").collect())
+    assert got == list(range(0, n, 2)) and len(rounds) < 10
+
+
+def test_chains_too_long_for_one_expression(spark):
+    """Rounds and folds by turns; nulls are a key like any other."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"a{(i + 1) // 2}" if i % 7 else None, f"b{i // 2}") for i in range(60)] + [(100 + i, rng.choice(["p", "q", None]), rng.choice(["r", None])) for i in range(30)]
+    df = spark.createDataFrame(rows, "o int, a string, b string").repartition(3)
+    seen_a, seen_b, want = set(), set(), []
+    for o, a, b in sorted(rows):
+        if a not in seen_a and b not in seen_b:
+            seen_a.add(a)
+            seen_b.add(b)
+            want.append(o)
+    for most in (5, 20_000):
+        assert sorted(r["o"] for r in dedup.two_key_dedup(df, "a", "b", "o", rounds=1, most=most).collect()) == want
+
+
+def test_an_order_with_nulls_or_ties_raises(spark):
+    for rows in ([(None, "a", "b"), (1, "c", "d")], [(1, "a", "b"), (1, "c", "d")]):
+        with pytest.raises(ValueError, match="nulls or ties"):
+            dedup.two_key_dedup(spark.createDataFrame(rows, "o int, a string, b string"), "a", "b", "o")
+
+
+def test_components(spark):
+    import random
+
+    from tamis.operators.graph import components
+
+    rng = random.Random(2)
+    for edges in ([], [(1, 1)], [(i, i + 1) for i in range(200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(0, i) for i in range(1, 50)]):
+        root = {v: v for e in edges for v in e if e[0] != e[1]}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+        assert got == {v: find(v) for v in root}
+
+
+def test_a_bucketed_history_is_not_exchanged(spark):
+    from uuid import uuid4
+
+    rows = spark.range(5000).select(F.concat(F.lit("u"), (F.col("id") * 3).cast("string")).alias("url"))
+    new = spark.range(9000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        history = ledger.bucketed(rows, f"history_{uuid4().hex}", "url", 8)
+        left = ledger.unseen(new, history, "url")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan[plan.index("FileScan") - 300 : plan.index("FileScan")]
+        assert left.count() == 9000 - 3000
+        alike = ledger.unseen(ledger.bucketed(new, f"new_{uuid4().hex}", "url", 8), history, "url")
+        assert "Exchange" not in alike._jdf.queryExecution().executedPlan().toString() and alike.count() == 6000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-EAGER = ("stream_", "dedup_two_key", "search_run")
+EAGER = ("stream_", "dedup_two_key", "search_run", "ledger_append", "ledger_compact", "decision_merge", "backfill_stored", "url_repair_stored")
 NAMES = [n for n in entry.queries() if not n.startswith(("op", "pipeline", *EAGER))]
 
 

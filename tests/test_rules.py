@@ -31,7 +31,41 @@ def test_places(spark, country, mode, support, scope, accept, points):
 )
 def test_scopes(spark, label, text, scope):
     df = spark.createDataFrame([(label, text)], "a string, b string")
-    assert df.select(rules.remote_scope(F.col("a"), F.col("b"), ("germany", "netherlands"))).first()[0] == scope
+    assert df.select(rules.remote_scope(F.col("a"), F.col("b"))).first()[0] == scope
+
+
+def test_more_scopes(spark):
+    cases = [
+        ("Remote (US/CA)", "", "restricted"),
+        ("REMOTE (US or LATAM; must overlap with US Pacific hours)", "", "restricted"),
+        ("Remote (Global)", "", "open"),
+        ("Remote EMEA", "", "open"),
+        ("Remote", "", "unknown"),
+        (None, None, "unknown"),
+        ("Remote", "You must be based in the Netherlands for this role.", "single-country"),
+        ("Remote", "Poland residents only, fully distributed team.", "single-country"),
+        ("Remote", "You must be located in Italy to apply.", "single-country"),
+        ("Remote", "Candidates must reside in Germany.", "single-country"),
+        ("Remote", "Open to candidates anywhere in the EU.", "open"),
+        ("Remote", "Our company is based in Germany. We hire worldwide.", "open"),
+        ("Remote", "We are located in the Czech Republic.", "open"),
+        ("Remote", "Germany residents only", "single-country"),
+        ("Remote", "Residents of the Czech Republic only", "single-country"),
+        ("Remote", "open only to Spain residents", "single-country"),
+        ("Remote", "United-Kingdom-based candidates only", "single-country"),
+        ("Remote", "only candidates currently living in Norway", "single-country"),
+        ("Remote", "must be based in Malta" + "x", "open"),
+        ("US citizens", "", "restricted"),
+        ("Remote US", "", "restricted"),
+        ("campus only", "", "unknown"),
+        ("Canada only", "", "restricted"),
+        ("Remote", "Strong overlap with US Eastern time zone", "restricted"),
+        ("Remote", "an office in the United States", "unknown"),
+        ("Fully remote", "", "global"),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r["i"]: r["s"] for r in df.select("i", rules.remote_scope(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert {i: (a, b, got[i]) for i, (a, b, _) in enumerate(cases)} == {i: c for i, c in enumerate(cases)}
 
 
 def test_pack_gives_one_reason_and_the_funnel_adds_up(spark):
@@ -53,6 +87,22 @@ def test_blocklist_as_table(spark):
     assert [r[0] for r in df.select(rules.blocked_company(F.col("k"), ("sii",))).collect()] == [False, True, False, None]
 
 
+def test_a_long_blocklist_of_names_of_any_length(spark):
+    """Equal to the pattern of all names on 5,000 names of one to four words that share their words."""
+    import random
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(900)]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(7000)} - set(words[:800]))
+    names = rng.sample(names, 5000) + ["c++ a", "a.b", "x & y"]
+    keys = [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(300)] + [f"the {rng.choice(names)} group" for _ in range(100)] + ["c++ a lab", "axb", "an a.b", "x & yes", "", None]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+    left = rules.blocked_by_list(df, "k", spark.createDataFrame([(n,) for n in names], "name string"))
+    want = df.where(~F.coalesce(rules.blocked_company(F.col("k"), names), F.lit(False)))
+    assert sorted(r["i"] for r in left.collect()) == sorted(r["i"] for r in want.collect())
+    assert 20 < want.count() < 390 and left.columns == ["i", "k"]
+
+
 def test_neighbouring_terms_both_count(spark):
     df = spark.createDataFrame([("vue vue, angular/vue vueé node.js node.js, node js",)], "x string")
     count = lambda *terms: df.select(rules.count_terms(F.col("x"), terms)).first()[0]

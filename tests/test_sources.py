@@ -111,3 +111,71 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = jobs.read_files(spark, f"{tmp_path}/in", rows.schema, "*.parquet", per_batch=1)
     got = jobs.run_to_table(jobs.dedup_within(stream, ["k"], "ts", "1 day").select("k"), "t")
     assert sorted(r["k"] for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_broken_responses_are_kept_apart(spark, tmp_path):
+    """One broken, one pretty-printed and one one-line response: 0, n and n items, and one row of quarantine."""
+    body = {"data": {"jobs": [{"title": f"t{i}", "url": f"/u{i}"} for i in range(3)]}}
+    feed = feeds.Feed("f", 1, "data struct<jobs: array<struct<title: string, url: string>>>", "data.jobs", {"title": ("title",), "url": ("url",)})
+    for name, text in {"broken": '{"data": {"jobs": [{"title": "x"', "pretty": json.dumps(body, indent=2), "line": json.dumps(body)}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = feed.responses(spark, str(tmp_path))
+    per_file = {r["file"].rsplit("/", 1)[1]: r["n"] for r in got.select(F.col("_file").alias("file"), F.coalesce(F.size("data.jobs"), F.lit(0)).alias("n")).collect()}
+    assert per_file == {"broken.json": 0, "pretty.json": 3, "line.json": 3}
+    assert feed.read(spark, str(tmp_path)).count() == 6
+    held = feed.quarantine(got).collect()
+    assert [(r["feed"], r["file"].rsplit("/", 1)[1], r["reason"]) for r in held] == [("f", "broken.json", "malformed")] and held[0]["raw"].startswith('{"data"')
+    assert feed.run_counts(got).first().asDict() == {"source": "f", "responses": 3, "broken": 1, "rows_found": 6, "error": None}
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "x.json").write_text('{"error": "gone"}')
+    counts = feed.run_counts(feed.responses(spark, f"{tmp_path}/only")).first()
+    assert (counts["broken"], counts["rows_found"], counts["error"]) == (1, 0, "unreadable response: no list")
+
+
+def test_responses_of_a_line_each(spark, tmp_path):
+    feed = feeds.Feed("f", 1, "jobs array<struct<id: int>>", "jobs", {"title": ("id",)}, lines=True)
+    (tmp_path / "a.json").write_text('{"jobs": [{"id": 1}, {"id": 2}]}\n{"jobs": [\n{"jobs": []}\n{}\n{"jobs": [{"id": 3}]}\n')
+    assert sorted(r["item"]["id"] for r in feed.read(spark, str(tmp_path)).collect()) == [1, 2, 3]
+    assert sorted(r["reason"] for r in feed.quarantine(feed.responses(spark, str(tmp_path))).collect()) == ["malformed", "no list"]
+
+
+def test_rss_files_equal_the_column_form(spark, tmp_path):
+    """Files that Spark reads in parts of some items."""
+    items = []
+    for i in range(400):
+        items.append(f"<item><title><![CDATA[Acme {i}: a & b]]></title><link>https://a.example/{i}</link><pubDate>Tue, 10 Jun 2003 04:00:00 GMT</pubDate><description><![CDATA[<b>x</b> {i}]]></description><region> Europe </region></item>")
+        items.append(f"<item>\n<title>B {i} &amp; c</title><guid isPermaLink='x'>https://b.example/{i}</guid><category>First</category><category>Second</category></item>")
+    items += ["<item><title>C</title></item>", "<item><title>D</title><link>d</link><pubDate>one day</pubDate></item>", "<item><title></title><link>e</link></item>", "<item><title>broken</titl><link>f</link></item>"]
+    for name, part in (("a", items[:300]), ("b", items[300:])):
+        (tmp_path / f"{name}.xml").write_text("<?xml version='1.0'?><rss><channel><title>Feed</title>" + "\n".join(part) + "</channel></rss>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        now = F.lit("2024-01-01").cast("timestamp")
+        rows = feeds.rss_files(spark, str(tmp_path), now)
+        assert rows.rdd.getNumPartitions() > 4
+        got = sorted(tuple(r) for r in rows.collect())
+        held = feeds.rss_quarantine(feeds.rss_rows(spark, str(tmp_path)), "f").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(held) == 1 and "broken</titl>" in held[0]["raw"] and held[0]["file"].endswith("b.xml")
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.explode(html.rss_items(F.col("value"), now)).alias("r")).select("r.*")
+    want = sorted((r["title"].replace("&amp;", "&"), *tuple(r)[1:]) for r in whole.collect())
+    assert got == want and len(got) == 800
+
+
+def test_state_of_a_page(spark):
+    jobs_list = {"listings": [{"title": "A job", "url": "/a; b"}]}
+    pages = [
+        f"<script>window.__STATE__ = {json.dumps(jobs_list)};</script>",
+        f"<script>var x = 1; window.__STORE__={json.dumps(jobs_list)};\n window.other = {{}};</script>",
+        f"<script>window.__INITIAL_STATE__ = {json.dumps(jobs_list)}\n</script><script>more()</script>",
+    ]
+    for page in pages:
+        assert [(r["title"], r["url"]) for r in one(spark, page, html.state(F.col("html")))] == [("A job", "/a; b")]
+    assert one(spark, "<script>window.__STATE__ = {broken</script>", html.state(F.col("html"))) is None
+
+
+def test_each_strategy_stands_once_in_the_plan(spark):
+    plan = html.extract_records(spark.createDataFrame([("x",)], "html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(x) == 1 for x in ("application/ld[+]json", "__NEXT_DATA__", "__INITIAL_STATE__"))
