@@ -96,7 +96,7 @@ def _(spark, d):
     """Two landed feeds with the items of half of all postings each, of which Spark reads parts of a megabyte."""
     p = A.postings(spark, d).withColumn("half", F.pmod(F.xxhash64("posting_id"), F.lit(2)))
     at = shared_path(spark, "rss")
-    p = p.withColumn("url", F.replace("url", F.lit("&"), F.lit("&amp;")))
+    p = p.withColumns({c: F.replace(c, F.lit("&"), F.lit("&amp;")) for c in ("url", "company")})
     p.select("half", F.concat(*rss_parts(p)).alias("value")).repartition(2, "half").sortWithinPartitions("half").select("value").write.text(at)
     got = feeds.rss_files(spark, at, A.as_of())
     return got.select("title", "url", "description", "region", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
