@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import spread_join
 from ..operators.stages import discard, shared_path, written
 
 __all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "small_batches", "spread_join", "table", "terms_of", "text_or_empty", "without", "written"]
@@ -46,17 +47,6 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, salt: Column, salts: int = 64) -> DataFrame:
-    """rows (a written table) joined to values (one row a key), a hot key's rows in up to so many parts.
-
-    Only the distinct pairs of key and salt meet values, so a key has at most ``salts`` rows
-    in that join, and each of its parts one partner in the other.
-    """
-    cell = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
-    of = cell.select(key, "_salt").distinct().join(values, key)
-    return cell.join(of, [key, "_salt"]).drop("_salt")
-
-
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """The rows of docs, columns and all, but for those of drop: id, text_key (xxhash64 of the text), stays.
 

@@ -15,8 +15,9 @@ is a group of its own, so no task holds more than two blocks.
 
 Rows with one fingerprint are one vertex throughout. Components are found by rounds of
 alternating star contractions over tables in the shared folder; nothing of the graph comes
-to the driver but the number of edges that a round changed. Joins on a fingerprint, a
-vertex or a component deal each one's rows to up to 64 tasks.
+to the driver but whether another round is needed. Joins on a fingerprint, a
+vertex or a component deal each one's rows to up to 64 tasks. Texts are read whole, however long;
+a fingerprint is summed up in parts of bounded memory.
 
 Defined results: null text counts as empty, no words gives fingerprint zero, which links
 like any other; repeated rows share a component; a null id is never the smallest one unless
@@ -32,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, spread_join, text_or_empty, without, written
+from ..operators.graph import components
+from ._shared import spread_join, text_or_empty, without, written
 
 WIDTH = 4
 SEED = 42
@@ -235,33 +237,6 @@ def links(fps: DataFrame, *, block: int = 8192) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(last.select("a", "b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """v and root: the smallest vertex of the component of every vertex that has an edge.
-
-    Large-star and small-star rounds by turns: every vertex hands its larger, then its
-    smaller neighbours to the smallest one it knows, until no edge changes.
-    """
-    edges = written(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo != hi").distinct(), "components")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).select(F.col("lo").alias("v"), F.col("hi").alias("u"))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = spread_join(both.where("u > v"), least, "v", F.col("u")).select(F.col("m").alias("lo"), F.col("u").alias("hi")).where("lo != hi").distinct()
-        # Small-star: v is the larger end of each edge, so its neighbours are the smaller ones.
-        large = written(large, "components")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = spread_join(large, least, "hi", F.col("lo"))
-        small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), "hi"))
-        old, edges = edges, written(small.where("lo != hi").distinct(), "components")
-        discard(old, large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    lone = edges.select(F.col("lo").alias("v"), F.col("lo").alias("root")).distinct()
-    return edges.select(F.col("hi").alias("v"), F.col("lo").alias("root")).unionByName(lone)
-
-
 def near_duplicates(docs: DataFrame, *, block: int = 8192) -> DataFrame:
     """doc_id, text_key, fp and component_id of every row."""
     rows = written(fingerprints(docs), "simhash-fps")
