@@ -43,9 +43,14 @@ def rebalance(shard_of: list[int], size: dict[int, int], shards: int, tolerance:
 
     An edit moves the slot of the fullest shard that comes nearest to half the gap to the
     emptiest one, or swaps two slots of the two if that comes nearer. A new shard is filled
-    with slots of the others alone.
+    with slots of the others alone. Slots of shards that are no more go to the emptiest first.
     """
     out = list(shard_of)
+    if max(out, default=0) >= shards:
+        room = [sum(size.get(s, 0) for s, k in enumerate(out) if k == j) for j in range(shards)]
+        for s in sorted((s for s, k in enumerate(out) if k >= shards), key=lambda s: (-size.get(s, 0), s)):
+            out[s] = min(range(shards), key=lambda k: (room[k], k))
+            room[out[s]] += size.get(s, 0)
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     for s, k in enumerate(out):
         held[k].append((size.get(s, 0), s))
@@ -149,15 +154,18 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str |
 
     map_path: where the map is stored; without it, or at a path without a map, a new one begins
     with version 0. A version is only added where the edited map differs from the last one.
+    A stored map keeps the number of slots that it began with, whatever ``slots`` says; with fewer
+    shards than before the slots of the last ones are dealt to the others.
     """
     spark = docs.sparkSession
-    rows = dealt(written(sized(docs, slots), "slot-rows"), shards, slots)  # the texts are read once
     path = map_path or shared_path(spark, "slot-map")
     try:
         version, last = newest(read_map(spark, path))
     except AnalysisException:  # no such path
         version, last = 0, first_map(shards, slots)
         append_map(spark, path, version, last)
+    slots = len(last)
+    rows = dealt(written(sized(docs, slots), "slot-rows"), shards, slots)  # the texts are read once
     edited = rebalance(last, slot_bytes(rows), shards)
     if edited != last:
         version += 1

@@ -98,3 +98,23 @@ def test_many_rows_alike_keep_the_law(spark):
         load[r["shard"]] += r["size"]
     assert len(got) == len(rows) and gapless(got)
     assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 8
+
+
+def test_a_stored_map_keeps_its_slots_and_gives_up_shards(spark, docs_of, tmp_path):
+    path = f"{tmp_path}/map"
+    rng = random.Random(2)
+    docs = docs_of(["x" * rng.randint(1, 400) for _ in range(300)])
+    first = slots.shard(docs, 8, 64, path)[0].collect()
+    other = slots.shard(docs, 8, 4096, path)[0].collect()
+    assert len(first) == len(other) == 300 and gapless(other)
+    assert {r["doc_id"]: r["vslot"] for r in first} == {r["doc_id"]: r["vslot"] for r in other}
+    fewer = slots.shard(docs, 5, 64, path)[0].collect()
+    assert len(fewer) == 300 and gapless(fewer) and {r["shard"] for r in fewer} == set(range(5))
+    before = {r["doc_id"]: r["shard"] for r in other}
+    load = Counter()
+    for r in fewer:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) < 0.1 * sum(load.values()) / 5
+    assert sum(before[r["doc_id"]] != r["shard"] for r in fewer) < 0.6 * 300
+    again = slots.shard(docs, 8, 64, path)[0].collect()
+    assert len(again) == 300 and {r["shard"] for r in again} == set(range(8))
