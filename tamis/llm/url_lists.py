@@ -65,10 +65,17 @@ def verdicts(visits: DataFrame, spans: DataFrame, allow: str = "allow") -> DataF
     return out.select("host", "fetched", "lists", "pattern", (F.col("block") > F.col("allow")).alias("blocked"))
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> DataFrame:
-    """page_id, host, fetched, lists, pattern and blocked of every capture (page_id, url, fetched)."""
+def evaluate(captures: DataFrame, entries: DataFrame, allow: str = "allow", salts: int = 64) -> DataFrame:
+    """page_id, host, fetched, lists, pattern and blocked of every capture (page_id, url, fetched).
+
+    Captures without a host or a time pass beside the join, and those of one host and time, which
+    may be many, meet their verdict in up to ``salts`` parts.
+    """
     known = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched")
+    complete = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    cells = known.where(complete).withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     found = verdicts(known.select("host", "fetched"), intervals(entries), allow)
-    same = F.col("k.host").eqNullSafe(F.col("v.host")) & F.col("k.fetched").eqNullSafe(F.col("v.fetched"))
-    joined = known.alias("k").join(found.alias("v"), same, "left")
-    return joined.select("k.page_id", "k.host", "k.fetched", F.coalesce("v.lists", F.lit("")).alias("lists"), "v.pattern", F.coalesce("v.blocked", F.lit(False)).alias("blocked"))
+    told = cells.select("host", "fetched", "part").distinct().join(found, ["host", "fetched"])
+    joined = cells.join(told, ["host", "fetched", "part"], "left").select("page_id", "host", "fetched", F.coalesce("lists", F.lit("")).alias("lists"), "pattern", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    beside = known.where(~complete).select("page_id", "host", "fetched", F.lit("").alias("lists"), F.lit(None).cast("string").alias("pattern"), F.lit(False).alias("blocked"))
+    return joined.unionByName(beside)

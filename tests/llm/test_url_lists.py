@@ -63,3 +63,15 @@ def test_a_top_level_domain_on_a_list(spark):
     df = spark.createDataFrame([(i, f"https://h{i}.zip/", day(i % 3)) for i in range(300)], "page_id long, url string, fetched date")
     got = url_lists.evaluate(df, entries(spark, [("spam", "zip", "add", day(1))])).groupBy("blocked").count().collect()
     assert {r["blocked"]: r["count"] for r in got} == {True: 200, False: 100}
+
+
+def test_many_captures_of_one_host_and_of_none(spark):
+    """A hot host on one day, and captures without a host, are dealt to many tasks or pass beside the join."""
+    urls = ["https://bad.example.com/", "no url", None, "https://fine.org/"]
+    rows = [(i, urls[i % 4], day(12) if i % 8 < 6 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched date").repartition(7)
+    found = url_lists.evaluate(df, entries(spark))
+    assert "part" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert sorted(r["page_id"] for r in got) == list(range(4000))
+    assert {r["page_id"] for r in got if r["blocked"]} == {i for i in range(4000) if i % 4 == 0 and i % 8 < 6}
