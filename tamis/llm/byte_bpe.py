@@ -12,7 +12,8 @@ Decoding concatenates the bytes of all ids; it needs no text boundaries and can'
 split characters.
 
 Defined results: a null text counts as empty; an empty text has no ids; rows repeated with
-one id and text give as many rows; other columns are not looked at.
+one id and text give as many rows; a null id is an id like any other; an empty table gives no
+rows; very long texts are encoded whole; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ built-in expressions, so scoring a corpus is a narrow projection.
 The fit sees at most ``limit`` labelled texts of each class, and of those only their
 statistics. Defined results: a null text counts as empty; an empty text has all statistics
 0; without labels of both classes every score is the share of the class that there is
-(0.5 without any).
+(0.5 without any). Repeated rows are scored each, alike, and one row of each labelled id is
+learned from; a score that equals a threshold is accepted; an empty table gives no rows; very long
+texts are read whole; a null id is held out; other columns are carried or not looked at, whatever they are called.
 """
 
 from __future__ import annotations

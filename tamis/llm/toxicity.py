@@ -10,7 +10,10 @@ The fit is bounded: at most ``per_class`` labelled texts of each class, at most
 ``vocabulary`` features. Scoring is a column expression over whole texts and needs no
 shuffle. Defined results: a null text counts as empty; an empty text gets the score of
 the intercept alone; without labels of both classes every score is the toxic share among
-the labels, or 0 without any label.
+the labels, or 0 without any label. Repeated rows are scored each, alike, and one row of each
+labelled id is learned from; a score of exactly one half counts as toxic; an empty table gives no
+rows; very long texts are read whole; a null id is held out; other columns are carried or not
+looked at, whatever they are called.
 """
 
 from __future__ import annotations
