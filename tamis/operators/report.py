@@ -55,6 +55,24 @@ def details(rows: DataFrame, place: str, lines: list[Column]) -> DataFrame:
     return rows.select(place, F.posexplode(told).alias("nth", "line"))
 
 
+#: From what risk on a match is marked. The two marks.
+RISKY, MARKS = 40, ("⚠️", "✓")
+
+
+def match_lines(title: Column, company: Column, url: Column, score: Column, country: Column, mode: Column, reasons: Column, salary: Column, risk: Column) -> list[Column]:
+    """What a report says of one match; a line whose value is null isn't told."""
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return [
+        line("## ", title, " — ", company),
+        line("- Link: ", url),
+        line("- Match score: ", score, "%"),
+        line("- Place: ", country, ", ", mode),
+        line("- Why it fits: ", reasons),
+        line("- Salary: ", salary),
+        line("- Fraud risk: ", risk, "% ", F.when(risk >= RISKY, MARKS[0]).otherwise(MARKS[1])),
+    ]
+
+
 def slim(df: DataFrame, caps: dict[str, int], blank: tuple[str, ...], lists: dict[str, int]) -> DataFrame:
     """A copy for keeping: large texts blank or cut, arrays short."""
     return df.withColumns({c: F.lit("") for c in blank} | {c: F.substring(c, 1, n) for c, n in caps.items()} | {c: F.slice(c, 1, n) for c, n in lists.items()})

@@ -11,8 +11,8 @@ from ..plans import adapters as A
 from ..sources import feeds, html
 from ..sources.variant import first_list, string_or_object
 from . import query
-from .rules import PACK_SQL, RANK, SCORE_SQL, rank_order, ranked
-from .scalars import COLLAPSE
+from .rules import PACK_SQL, RANK, REASONS_SQL, SCORE_SQL, rank_order, ranked, reasons
+from .scalars import COLLAPSE, MONTHLY, SALARY_LABEL, salary_label, with_monthly
 
 STRIP = COLLAPSE.format("replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')").replace("{{", "{").replace("}}", "}")
 
@@ -252,15 +252,18 @@ def _(spark, d):
     return top(spark, d, 20).select(report.markdown_row(*[F.col(c) for c in ("title", "company", "country", "work_mode", "experience_min", "score")]).alias("line"))
 
 
-@query("report_details", f"""with t as (select *, row_number() over (order by {RANK})::int as place from (select *, {SCORE_SQL} as score from postings where {PACK_SQL} is null) qualify place <= 5)
-select place, unnest(range(4))::int as nth, unnest(['## ' || title || ' — ' || company, '- Link: ' || url, '- Match score: ' || score || '%', '- Place: ' || country || ', ' || work_mode]) as line from t""", "postings")
+@query("report_details", f"""with {MONTHLY}, t as (select *, row_number() over (order by {RANK})::int as place from (select *, {SCORE_SQL} as score, {REASONS_SQL} as reasons from postings where {PACK_SQL} is null) qualify place <= 5),
+w as (select t.*, s.fraud_score, (select {SALARY_LABEL} from e where e.posting_id = t.posting_id) as label from t join model_scores s using (posting_id))
+select place, unnest(range(7))::int as nth, unnest(['## ' || title || ' — ' || company, '- Link: ' || url, '- Match score: ' || score || '%', '- Place: ' || country || ', ' || work_mode, '- Why it fits: ' || reasons, '- Salary: ' || label, '- Fraud risk: ' || fraud_score || '% ' || case when fraud_score >= 40 then '⚠️' else '✓' end]) as line from w""", "postings", "model_scores", "rates")
 def _(spark, d):
-    """What the report says of each of the best five."""
+    """What the report says of each of the best five: where it is, why it fits, what it pays, how risky it is."""
     from pyspark.sql import Window
 
-    best = top(spark, d, 5).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*rank_order())))
-    score = F.concat(F.lit("- Match score: "), F.col("score").cast("string"), F.lit("%"))
-    return report.details(best, "place", [F.concat(F.lit("## "), "title", F.lit(" — "), "company"), F.concat(F.lit("- Link: "), "url"), score, F.concat(F.lit("- Place: "), "country", F.lit(", "), "work_mode")])
+    best = top(spark, d, 5).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*rank_order()))).select("place", "posting_id", "score")
+    # Salary, reasons and risk are worked out for the five alone.
+    rows = with_monthly(spark, d).join(best, "posting_id").join(A.model_scores(spark, d).select("posting_id", "fraud_score"), "posting_id")
+    c = F.col
+    return report.details(rows, "place", report.match_lines(c("title"), c("company"), c("url"), c("score"), c("country"), c("work_mode"), reasons(), salary_label(), c("fraud_score")))
 
 
 @query("slim_matches", f"select posting_id, '' as description, substring(title, 1, 20) as title, array_to_string(string_split(title, ' ')[1:3], ' ') as words from postings", "postings")

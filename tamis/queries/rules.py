@@ -301,11 +301,19 @@ def _(spark, d):
     return scored(A.postings(spark, d)).select("posting_id", "score", "breakdown.signals", "breakdown.keywords", "breakdown.startup")
 
 
-@query("reasons_top5", f"select posting_id, array_to_string(list_filter([{', '.join(f'case when contains({FULL}, {chr(39)}{t}{chr(39)}) then {chr(39)}{r}{chr(39)} end' for t, _, r in L.SIGNALS)}, case when {SPONSOR_SQL} > 0 then 'sponsor' end, case when {DOMAIN_SQL} > 0 then 'domain' end, 'place: ' || country], lambda x: x is not null)[1:5], '; ') as reasons from postings", "postings")
-def _(spark, d):
-    _, reasons = P.signal_points(full(), L.SIGNALS)
+REASONS_SQL = f"array_to_string(list_filter([{', '.join(f'case when contains({FULL}, {chr(39)}{t}{chr(39)}) then {chr(39)}{r}{chr(39)} end' for t, _, r in L.SIGNALS)}, case when {SPONSOR_SQL} > 0 then 'sponsor' end, case when {DOMAIN_SQL} > 0 then 'domain' end, 'place: ' || country], lambda x: x is not null)[1:5], '; ')"
+
+
+def reasons():
+    """The first five reasons of a score, as one text."""
+    _, found = P.signal_points(full(), L.SIGNALS)
     more = F.array_compact(F.array(F.when(sponsor() > 0, "sponsor"), F.when(domain() > 0, "domain"), F.concat(F.lit("place: "), "country")))
-    return A.postings(spark, d).select("posting_id", F.array_join(P.top_reasons(reasons, more), "; ").alias("reasons"))
+    return F.array_join(P.top_reasons(found, more), "; ")
+
+
+@query("reasons_top5", f"select posting_id, {REASONS_SQL} as reasons from postings", "postings")
+def _(spark, d):
+    return A.postings(spark, d).select("posting_id", reasons().alias("reasons"))
 
 
 RECONCILE_SQL = """case when model_score is null then case when code_veto then 'hard_skip' else 'no_model_data' end when code_veto or model_veto then 'hard_skip' when model_score < 55 then 'below_threshold' when fraud_score >= 72 then 'suspicious_fraud' else 'relevant' end"""

@@ -245,10 +245,17 @@ def _(spark, d):
     return with_monthly(spark, d).select("posting_id", F.round("monthly_eur", 2).alias("monthly_eur"))
 
 
-@query("salary_label", f"""with {MONTHLY} select posting_id, case when coalesce(salary_yearly_min, salary_min) is null or monthly_eur is null then 'salary not listed' else
-  salary_currency || ' ' || format('{{:,}}', round_even(coalesce(salary_yearly_min, salary_min), 0)::bigint) || case when salary_yearly_min is not null then '/year' else '/month' end || ' (~EUR ' || format('{{:,}}', round_even(monthly_eur, 0)::bigint) || '/month)' end as label from e""", "postings", "rates")
+SALARY_LABEL = """case when coalesce(salary_yearly_min, salary_min) is null or monthly_eur is null then 'salary not listed' else
+  salary_currency || ' ' || format('{:,}', round_even(coalesce(salary_yearly_min, salary_min), 0)::bigint) || case when salary_yearly_min is not null then '/year' else '/month' end || ' (~EUR ' || format('{:,}', round_even(monthly_eur, 0)::bigint) || '/month)' end"""
+
+
+def salary_label():
+    return infer.salary_label(F.col("salary_yearly_min"), F.col("salary_min"), F.col("salary_currency"), F.col("monthly_eur"))
+
+
+@query("salary_label", f"with {MONTHLY} select posting_id, {SALARY_LABEL} as label from e", "postings", "rates")
 def _(spark, d):
-    return with_monthly(spark, d).select("posting_id", infer.salary_label(F.col("salary_yearly_min"), F.col("salary_min"), F.col("salary_currency"), F.col("monthly_eur")).alias("label"))
+    return with_monthly(spark, d).select("posting_id", salary_label().alias("label"))
 
 
 @query("lexicon_flags", f"select posting_id, {sql_any('lower(description)', L.SPONSOR)} as sponsor, {sql_any('lower(description)', L.CLAUSES)} as clause from postings", "postings")
