@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import spread_join
+from ..operators.graph import possible, spread_join
 from ..operators.stages import discard, shared_path, written
 
-__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "shared_path", "small_batches", "spread_join", "table", "terms_of", "text_or_empty", "without", "written"]
+__all__ = ["ASCII_SPACE", "Sparse", "class_counts", "discard", "held_out", "labelled_sample", "lasso_logistic", "possible", "shared_path", "small_batches", "spread_join", "table", "terms_of", "text_or_empty", "without", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"

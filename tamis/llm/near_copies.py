@@ -10,10 +10,12 @@ the other members of a band then still lie in different parts, they are compared
 one part aside, so no pair is lost that shares a band; nothing else is compared, however large the
 components grow. Bands with the same members count once. The sets of such a band are cut into blocks of about
 ``block`` bytes, a part that fills a block into its own ones, and each pair of blocks is a
-group of its own, but for two blocks of one such part. No task holds more than two.
+group of its own, but for two blocks of one such part. No task holds more than two. Blocks are laid
+out by the sizes of sets; the hashes join last, on their way to their groups.
 
 Rows with one set are one vertex throughout. Sets hold 64-bit hashes of shingles, and are
-computed again from the texts of candidates alone. Joins on a band, a component or a set deal
+computed again from the texts of candidates alone; a bitmap keeps most other texts, and most bands of
+one member, out of the shuffles. Joins on a band, a component or a set deal
 each one's rows to up to 64 tasks.
 
 Defined results: null text counts as empty; a text of fewer words than a shingle is one
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, small_batches, spread_join, text_or_empty, without, written
+from ._shared import discard, possible, small_batches, spread_join, text_or_empty, without, written
 from .simhash import components, shingle_hashes
 
 WIDTH = 5
@@ -96,13 +98,16 @@ def members(sets: DataFrame) -> DataFrame:
     shared most, as those of the least edited copies are; so most of a group lie near it.
     """
     keyed = sets.select("v", F.explode("bands").alias("key"))
+    # Most bands have one member, so only keys and counts of them are shuffled.
+    several = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-several")
+    keyed = written(possible(keyed, several, "key"), "near-keyed")
     of = keyed.groupBy("key").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("who"))
     shared = written(of.where("first < last").groupBy("first", "last", "n", "who").agg(F.min("key").alias("key")).select("key", "n"), "near-bands")
     met = written(spread_join(keyed, shared, "key", F.col("v")), "near-met")
     told = written(spread_join(met, met.groupBy("v").agg(F.sum("n").alias("shared")), "v", F.col("key")), "near-told")
     leader = told.groupBy("key").agg(F.max_by("v", F.struct("shared", "v")).alias("a"))
     out = written(spread_join(told, leader, "key", F.col("v")).where("v != a").select("key", "v", "a", "n"), "near-members")
-    discard(shared, met, told)
+    discard(several, keyed, shared, met, told)
     return out
 
 
@@ -116,7 +121,7 @@ def hashed(docs: DataFrame, known: DataFrame) -> DataFrame:
             yield b[["v"]].assign(hashes=[s.tobytes() for s in sets])[same]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_key"), text_or_empty().alias("text"))
-    texts = texts.join(known, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("text_key")))
+    texts = possible(texts, known, "row_key", "text_key").join(known, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("text_key")))
     made = texts.select("v", "text").mapInPandas(run, "v long, hashes binary")
     with small_batches(docs.sparkSession, 1000):
         return written(made.groupBy("v").agg(F.min("hashes").alias("hashes")), "near-sets")  # of rows alike in id and text one
@@ -188,9 +193,9 @@ def open_bands(member: DataFrame, part: DataFrame) -> DataFrame:
 def further_links(band: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
     """Links between the sets (v, hashes) of one band (key, v, part; a written table) that lie in different parts."""
     # A band's part has a number of its own, since a part may lie in several bands.
-    of = spread_join(band.select("key", "v", F.xxhash64("key", "part").alias("part")), sets, "v", F.col("key"))
-    parted = written(of.select("key", "v", "part", "hashes"), "near-parted")
-    size = parted.groupBy("key", "part").agg(F.sum(F.octet_length("hashes")).alias("bytes"))
+    of = spread_join(band.select("key", "v", F.xxhash64("key", "part").alias("part")), sets.select("v", F.octet_length("hashes").alias("bytes")), "v", F.col("key"))
+    parted = written(of.select("key", "v", "part", "bytes"), "near-parted")
+    size = parted.groupBy("key", "part").agg(F.sum("bytes").alias("bytes"))
     size = written(size.select("key", "part", F.when(F.col("bytes") > block, F.ceil(F.col("bytes") / block)).otherwise(0).cast("int").alias("own"), "bytes"), "near-sizes")
     # Blocks 0 to shared - 1 hold the small parts of a band; each large part has its own blocks.
     whole = size.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("bytes")).otherwise(0)) / block).cast("int").alias("shared"))
@@ -204,7 +209,9 @@ def further_links(band: DataFrame, sets: DataFrame, least: float, block: int) ->
     cut = spread_join(parted, placed, "part", F.col("v"))
     cut = cut.withColumn("i", F.pmod(F.xxhash64("v", F.lit("block")), F.col("blocks")).cast("int") + F.col("at"))
     partners = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("not alone or j < at or j >= at + blocks")
-    groups = partners.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "part", "hashes")
+    groups = written(partners.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "part", "n"), "near-groups")
+    # Sets come in last, on their way to their groups; those of bands of one block need one part of the join.
+    groups = spread_join(groups, sets, "v", F.when(F.col("n") > 1, F.col("lo") + F.col("hi"))).select("key", "lo", "hi", "i", "v", "part", "hashes")
     return groups.groupBy("key", "lo", "hi").applyInPandas(_verify(least), "a long, b long")
 
 

@@ -1,4 +1,4 @@
-"""Joins that deal a hot key to many tasks, and connected components in rounds over written tables."""
+"""Joins that deal a hot key to many tasks or pass over rows without a partner, and connected components in rounds over written tables."""
 
 from __future__ import annotations
 
@@ -19,6 +19,22 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str, salt: Column, salt
     return cell.join(of, [key, "_salt"], how).drop("_salt")
 
 
+def possible(rows: DataFrame, keys: DataFrame, key: str, of: str | None = None) -> DataFrame:
+    """The rows whose key may be among keys (a written table with a column of, or key): all that are, and some others.
+
+    What is broadcast has a bound whatever the size of keys: 2^17 words of 64 bits, of which a
+    hash of each key sets one. So rows that surely lack a partner aren't shuffled for a join
+    that decides; the more keys there are, the more others pass.
+    """
+    place = lambda name: F.xxhash64(name, F.lit("possible"))
+    word = lambda name: place(name).bitwiseAND(F.lit((1 << 17) - 1))
+    bit = lambda name: F.shiftrightunsigned(place(name), 58).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(of or key))
+    words = keys.groupBy(word(of or key).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    met = rows.withColumn("_word", word(key)).join(F.broadcast(words), "_word")
+    return met.where(F.getbit("_bits", bit(key)) == 1).drop("_word", "_bits")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """v and u: every edge (lo, hi) from either end."""
     return edges.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionByName(edges.select(F.col("hi").alias("v"), F.col("lo").alias("u")))

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from tamis.llm import near_copies
+from tamis.llm._shared import possible
 
 from odd_texts import ODD
 
@@ -98,6 +99,45 @@ def test_members_of_a_band_that_its_leader_leaves_apart(spark, docs_of):
         assert found == plain_components(dict(enumerate(texts)))
 
 
+def loose_group():
+    """One group in which most pairs are under the bound."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(200)] = word()
+        texts.append(" ".join(words))
+    return dict(enumerate(texts))
+
+
+def test_sets_are_written_once(spark, docs_of, monkeypatch):
+    """A set isn't written once for each of its bands; only groups that compare it get it as often."""
+    tables, write = [], near_copies.written
+
+    def noted(df, name):
+        tables.append((name, df.columns))
+        return write(df, name)
+
+    monkeypatch.setattr(near_copies, "written", noted)
+    texts = loose_group()
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs_of(texts), block=9_000).collect()}
+    assert found == plain_components(texts)
+    assert "near-parted" in [name for name, _ in tables]  # sets of open bands were compared
+    assert [name for name, columns in tables if "hashes" in columns] == ["near-sets"]
+
+
+def test_rows_that_may_have_a_partner(spark):
+    rows = spark.range(50_000).withColumnRenamed("id", "key")
+    keys = spark.range(0, 100_000, 100).withColumnRenamed("id", "other")
+    for some in (keys, keys.limit(0)):
+        want = {r["other"] for r in some.collect() if r["other"] < 50_000}
+        got = [r["key"] for r in possible(rows, some, "key", "other").collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and len(got) < len(want) + 50
+    assert possible(rows, rows, "key").count() == 50_000
+
+
 def test_stage_takes_edited_copies(spark, docs_of, edited):
     docs = docs_of(edited, extra=True)
     kept = importlib.import_module("corpus_pipeline").near(spark, docs, "")
