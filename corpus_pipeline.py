@@ -50,8 +50,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles, Jaccard similarity of 0.8 or more.
 
-    The shingle hashes and components are those of the SimHash operator; since near copies differ
-    in more bits than its radius, candidates come from bands of min-hashes, and sets are compared exactly.
+    Candidates are sets that the SimHash operator's index puts in one component, and, since most
+    near copies differ in more bits than its radius, those that share a band of min-hashes;
+    all are compared exactly.
 
     The smallest id of a group stays; a null id only where there is no other, and of rows
     alike in id and text one. Texts without words are one group, apart from all others.

@@ -1,9 +1,11 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-The radius of the SimHash operator, four bits, reaches few such pairs (they differ in up to 13), and
-three to seven segments can't index 13 bits. So candidates are sets that share one of 50 bands of
-seven min-hashes; a pair at the bound shares none with a chance of (1 - 0.8^7)^50, one in 130,000,
-and pairs under 0.3 seldom share one. A band links its members to a leader, the one whose bands
+Candidates are, first, sets whose fingerprints lie in one component of the SimHash operator: its
+deletion-variant index, at four bits, over fingerprints of the sets. That radius reaches few pairs at
+the bound (they differ in up to 13 bits, which three to seven segments can't index), so sets that
+share one of 50 bands of seven min-hashes are candidates too; a pair at the bound shares none with a
+chance of (1 - 0.8^7)^50, one in 130,000, and pairs under 0.3 seldom share one. A component of
+fingerprints is treated as one more band throughout. A band links its members to a leader, the one whose bands
 others share most, so candidates are as many as members. The sets of these pairs are compared first, and those that reach the
 bound link: most members of a group of copies, in work that is in proportion to the group. Where
 the other members of a band then still lie in different parts, they are compared with each other, those of
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import discard, possible, small_batches, spread_join, text_or_empty, without, written
-from .simhash import components, shingle_hashes
+from .simhash import components, links, majority, shingle_hashes
 
 WIDTH = 5
 LEAST = 0.8
@@ -77,27 +79,36 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def vertices(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash that tells rows of one id apart), v (a hash of the set) and bands of every row."""
+    """doc_id, text_key (a hash that tells rows of one id apart), v (a hash of the set), fp (a SimHash) and bands of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = []
             for text in b["text"]:
                 distinct = shingle_set(text)
-                made.append((_vertex(distinct), bands(distinct)))
-            v, keys = zip(*made, strict=True) if made else ((), ())
-            yield b[["doc_id", "text_key"]].assign(v=np.array(v, np.int64), bands=list(keys))
+                # Of the set, so that rows with one set have one fingerprint.
+                made.append((_vertex(distinct), majority(distinct.astype(">u8")), bands(distinct)))
+            v, fp, keys = zip(*made, strict=True) if made else ((), (), ())
+            yield b[["doc_id", "text_key"]].assign(v=np.array(v, np.int64), fp=np.array(fp, np.int64), bands=list(keys))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, text_key long, v long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, text_key long, v long, fp long, bands array<long>")
+
+
+def by_fingerprint(sets: DataFrame, block: int = 8192) -> DataFrame:
+    """v and key (one for each component of the SimHash operator) of the sets (v, fp; a written table)."""
+    fps = written(sets.select("fp").distinct(), "near-fps")
+    roots = components(links(fps, block=block)).select(F.col("v").alias("fp"), "root")
+    return spread_join(sets.select("v", "fp"), roots, "fp", F.col("v"), how="left").select("v", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
 
 
 def members(sets: DataFrame) -> DataFrame:
-    """key, v, a (the band's leader) and n (its size) of the sets (v, bands) that share a band, but for the leaders; a written table.
+    """key, v, a (the band's leader) and n (its size) of the sets (v, fp, bands) that share a band, but for the leaders; a written table.
 
     Of bands with the same members one counts. A band's leader is the member whose bands are
     shared most, as those of the least edited copies are; so most of a group lie near it.
     """
-    keyed = sets.select("v", F.explode("bands").alias("key"))
+    prints = written(by_fingerprint(sets.where(F.size("bands") > 0)), "near-prints")
+    keyed = sets.select("v", F.explode("bands").alias("key")).unionByName(prints)
     # Most bands have one member, so only keys and counts of them are shuffled.
     several = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-several")
     keyed = written(possible(keyed, several, "key"), "near-keyed")
@@ -107,7 +118,7 @@ def members(sets: DataFrame) -> DataFrame:
     told = written(spread_join(met, met.groupBy("v").agg(F.sum("n").alias("shared")), "v", F.col("key")), "near-told")
     leader = told.groupBy("key").agg(F.max_by("v", F.struct("shared", "v")).alias("a"))
     out = written(spread_join(told, leader, "key", F.col("v")).where("v != a").select("key", "v", "a", "n"), "near-members")
-    discard(several, keyed, shared, met, told)
+    discard(prints, several, keyed, shared, met, told)
     return out
 
 
@@ -220,7 +231,7 @@ def near_copies(docs: DataFrame, *, least: float = LEAST, block: int = 16 << 20)
     with small_batches(docs.sparkSession, 2000):
         rows = written(vertices(docs), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    sets = written(rows.groupBy("v").agg(F.min(order).alias("first"), F.first("bands").alias("bands")), "near-vertices")
+    sets = written(rows.groupBy("v").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-vertices")
     member = members(sets)
     pairs = written(member.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct(), "near-pairs")
     ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()

@@ -2,8 +2,9 @@ import importlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tamis.llm import near_copies
+from tamis.llm import near_copies, simhash
 from tamis.llm._shared import possible
 
 from odd_texts import ODD
@@ -138,6 +139,35 @@ def test_rows_that_may_have_a_partner(spark):
     assert possible(rows, rows, "key").count() == 50_000
 
 
+def test_fingerprints_give_candidates_without_bands(spark, docs_of, monkeypatch):
+    """Without bands the SimHash operator's components are compared; a set that only shares its fingerprint doesn't link."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(12):
+        words = [word() for _ in range(800)]
+        for _ in range(3):
+            texts.append(" ".join(words))
+            words[rng.randrange(800)] = word()
+    docs = docs_of(dict(enumerate(texts)))
+    made = near_copies.vertices
+    monkeypatch.setattr(near_copies, "vertices", lambda docs: made(docs).withColumn("bands", F.array("v")))
+    fps = {i: simhash.majority(near_copies.shingle_set(t).astype(">u8")) for i, t in enumerate(texts)}
+    near = {(i, j) for i in fps for j in fps if i < j and ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 4}
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    assert len(near) >= 24 and all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in near)
+    root = list(range(len(texts)))
+    for i, j in sorted(near):
+        root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert found == dict(enumerate(root))
+    # All fingerprints alike: only the sets decide.
+    monkeypatch.setattr(near_copies, "vertices", lambda docs: made(docs).withColumns({"bands": F.array("v"), "fp": F.lit(5).cast("long")}))
+    for block in (16 << 20, 20_000):
+        found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, block=block).collect()}
+        assert found == plain_components(dict(enumerate(texts)))
+
+
 def test_stage_takes_edited_copies(spark, docs_of, edited):
     docs = docs_of(edited, extra=True)
     kept = importlib.import_module("corpus_pipeline").near(spark, docs, "")
